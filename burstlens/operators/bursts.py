@@ -2,8 +2,8 @@
 
 Chunked plan, for a trace of any size and any skew over sets:
 
-1. One shuffle of the trace by ``(set and chunk, kind)``; at most ``chunk`` rows
-   share a key. Inside it, accesses are cut into fragments and each fragment is
+1. One shuffle of the trace by cell, that is chunk, set and kind; at most ``chunk``
+   rows share a key. Inside it, accesses are cut into fragments and each fragment is
    aggregated, all in one stage.
 2. Only a fragment that comes within ``intra`` of its chunk's border can go on in
    the next chunk: at most two per chunk and set. These are stitched by a window
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstlens.operators.gaps import DEFAULT_CHUNK
-from burstlens.profiles import FETCH, CacheProfile
+from burstlens.profiles import FETCH, READ, WRITE, CacheProfile
 
-BURST_COLUMNS = ["rw", "set_idx", "n_lines", "center", "n_access", "first_idx", "last_idx"]
+# Kinds are numbered from FETCH on.
+_KINDS = 3
 # Stands for "no chunks": larger than any record number.
 _ENDLESS = 1 << 62
 
@@ -38,21 +39,33 @@ def _up_to_now(w):
 
 
 def _rows(coords: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
-    """The trace as shuffled: set and chunk packed into ``cell``.
+    """The trace as shuffled: chunk, set and kind packed into ``cell``.
 
-    One packed key sorts faster than two and makes the shuffled row narrower. All
-    columns used as join keys are made non-null: otherwise the join of step 3
-    would add null filters to its side and the exchange could not be shared.
+    ``cell`` is a computed, non-null column on purpose. A nullable key, or a plain
+    copy of a column, would let the join of step 3 change this projection (null
+    filters, dropped aliases) and the two uses could no longer share one exchange.
     """
-    cell = F.expr(f"(rec_idx div {chunk}) * {profile.n_sets} + set_idx")
-    return coords.select(
-        F.coalesce(cell, _long(0)).alias("cell"),
-        F.coalesce("rw", _long(FETCH)).alias("rw"),
-        F.coalesce("rec_idx", _long(-1)).alias("rec_idx"),
-        "tag",
+    kind = f"(coalesce(rw, {FETCH}) - {FETCH})"
+    cell = F.expr(f"(rec_idx div {chunk}) * {_lanes(profile)} + set_idx * {_KINDS} + {kind}")
+    return coords.filter(F.coalesce("rw", _long(FETCH)).isin(FETCH, WRITE, READ)).select(
+        F.coalesce(cell, _long(0)).alias("cell"), "rec_idx", "tag"
     )
 
 
+def _lanes(profile: CacheProfile) -> int:
+    """Pairs of set and kind; a cell is ``chunk number * lanes + lane``."""
+    return profile.n_sets * _KINDS
+
+
+def _lane_columns(lane: Column) -> list[Column]:
+    """Kind and set of a lane number."""
+    kind = lane % _KINDS
+    return [
+        (kind + FETCH).alias("rw"),
+        ((lane - kind) / _KINDS).cast("long").alias("set_idx"),
+    ]
+
+
 def _dense_rows(rows: DataFrame, w, profile: CacheProfile, chunk: int) -> DataFrame:
     """Drop rows that cannot be part of a burst of ``assoc`` accesses.
 
@@ -81,7 +94,7 @@ def _fragments(
     rows: DataFrame, profile: CacheProfile, chunk: int, only_qualifying: bool
 ) -> DataFrame:
     """Bursts cut at chunk borders: one row per fragment."""
-    w = Window.partitionBy("cell", "rw").orderBy("rec_idx")
+    w = Window.partitionBy("cell").orderBy("rec_idx")
     if only_qualifying:
         rows = _dense_rows(rows, w, profile, chunk)
     gap = F.col("rec_idx") - F.lag("rec_idx").over(w)
@@ -89,7 +102,7 @@ def _fragments(
     return (
         rows.select("*", start.alias("start"))
         .select("*", F.max("start").over(_up_to_now(w)).alias("first"))
-        .groupBy("cell", "rw", "first")
+        .groupBy("cell", "first")
         .agg(
             F.max("rec_idx").alias("last"),
             F.count("*").alias("n"),
@@ -99,13 +112,12 @@ def _fragments(
     )
 
 
-def _as_bursts(frags: DataFrame, set_idx: Column | str, chunk: int) -> DataFrame:
+def _as_bursts(frags: DataFrame, lane: Column, chunk: int) -> DataFrame:
     """The burst table of bursts that are one fragment each."""
     return frags.select(
-        "rw",
-        set_idx,
+        *_lane_columns(lane),
         # A single access makes no pair and so counts no line.
-        F.when(F.col("n") > 1, F.col("tags")).otherwise(0).cast("long").alias("n_lines"),
+        F.expr("if(n > 1, tags, 0L)").alias("n_lines"),
         F.expr(f"first - first % {chunk} + offsets div n").alias("center"),
         F.col("n").alias("n_access"),
         F.col("first").alias("first_idx"),
@@ -116,43 +128,43 @@ def _as_bursts(frags: DataFrame, set_idx: Column | str, chunk: int) -> DataFrame
 def _stitched(
     frags: DataFrame, profile: CacheProfile, chunk: int, only_qualifying: bool
 ) -> DataFrame:
-    """Fragments with the totals of the burst that each belongs to."""
-    # A fragment near a border may go on beyond it. Open fragments of a set share
-    # one lane; a closed one stays in its cell's.
-    is_open = (F.col("first") % chunk < profile.intra - 1) | (
-        F.col("last") % chunk > chunk - profile.intra
-    )
+    """Fragments with the totals of the burst that each belongs to.
+
+    ``strand`` is what the window runs over. A fragment near a chunk border may go
+    on beyond it: such open fragments share the strand of their lane, while a closed
+    fragment stays in the strand of its cell.
+    """
+    is_open = f"(first % {chunk} < {profile.intra - 1} or last % {chunk} > {chunk - profile.intra})"
     if only_qualifying:
-        frags = frags.filter(is_open | ((F.col("n") > 1) & (F.col("tags") >= profile.assoc)))
-    lane = F.when(is_open, -1 - F.col("cell") % profile.n_sets).otherwise(F.col("cell"))
-    frags = frags.select(lane.alias("lane"), "rw", "first", "last", "n", "offsets", "tags")
+        frags = frags.filter(f"{is_open} or (n > 1 and tags >= {profile.assoc})")
+    frags = frags.select(
+        F.expr(f"if({is_open}, -1 - cell % {_lanes(profile)}, cell)").alias("strand"),
+        *("first", "last", "n", "offsets", "tags"),
+    )
 
-    by_lane = Window.partitionBy("lane", "rw").orderBy("first")
-    burst = Window.partitionBy("lane", "rw", "burst_first")
-    gap = F.col("first") - F.lag("last").over(by_lane)
+    by_strand = Window.partitionBy("strand").orderBy("first")
+    burst = Window.partitionBy("strand", "burst_first")
+    gap = F.col("first") - F.lag("last").over(by_strand)
     start = F.when(gap < profile.intra, None).otherwise(F.col("first"))
     # Record numbers of a whole burst can add up beyond a LONG.
-    chunk_start = (F.col("first") - F.col("first") % chunk).cast("decimal(19,0)")
-    positions = chunk_start * F.col("n").cast("decimal(18,0)") + F.col("offsets")
-    set_idx = F.when(F.col("lane") < 0, -1 - F.col("lane")).otherwise(
-        F.col("lane") % profile.n_sets
+    positions = F.expr(
+        f"""cast(cast(first - first % {chunk} as decimal(19, 0)) * cast(n as decimal(18, 0))
+                 + offsets as decimal(38, 0))"""
     )
     stitched = (
-        frags.select("*", set_idx.alias("set_idx"), start.alias("start"))
-        .select("*", F.max("start").over(_up_to_now(by_lane)).alias("burst_first"))
+        frags.select("*", start.alias("start"))
+        .select("*", F.max("start").over(_up_to_now(by_strand)).alias("burst_first"))
         .select(
             "*",
             F.count("*").over(burst).alias("burst_frags"),
             F.max("last").over(burst).alias("burst_last"),
             F.sum("n").over(burst).alias("burst_n"),
-            F.sum(positions.cast("decimal(38,0)")).over(burst).alias("burst_positions"),
+            F.sum(positions).over(burst).alias("burst_positions"),
             F.sum("tags").over(burst).alias("most_tags"),
         )
     )
     if only_qualifying:
-        stitched = stitched.filter(
-            (F.col("burst_n") > 1) & (F.col("most_tags") >= profile.assoc)
-        )
+        stitched = stitched.filter(f"burst_n > 1 and most_tags >= {profile.assoc}")
     return stitched
 
 
@@ -164,29 +176,28 @@ def _bursts(
     rows = _rows(coords, profile, chunk or _ENDLESS)
     frags = _fragments(rows, profile, chunk or _ENDLESS, only_qualifying)
     if chunk is None:
-        return _as_bursts(frags, F.col("cell").alias("set_idx"), _ENDLESS)
+        return _as_bursts(frags, F.col("cell"), _ENDLESS)
 
+    lanes = _lanes(profile)
     stitched = _stitched(frags, profile, chunk, only_qualifying)
-    whole = _as_bursts(stitched.filter(F.col("burst_frags") == 1), "set_idx", chunk)
-    parts = stitched.filter(F.col("burst_frags") > 1).select(
-        F.expr(f"(first div {chunk}) * {profile.n_sets} + set_idx").alias("cell"),
-        "rw",
-        "first",
-        "last",
-        "set_idx",
-        "burst_first",
-        "burst_last",
-        "burst_n",
-        "burst_positions",
+    whole = _as_bursts(
+        stitched.filter("burst_frags = 1"),
+        F.expr(f"if(strand < 0, -1 - strand, strand % {lanes})"),
+        chunk,
+    )
+    # Fragments of longer bursts are all open.
+    parts = stitched.filter("burst_frags > 1").selectExpr(
+        f"(first div {chunk}) * {lanes} - 1 - strand as cell",
+        "-1 - strand as lane",
+        *("first", "last", "burst_first", "burst_last", "burst_n", "burst_positions"),
     )
     spanning = (
-        rows.join(parts, ["cell", "rw"])
-        .filter(F.col("rec_idx").between(F.col("first"), F.col("last")))
-        .groupBy("rw", "set_idx", "burst_first", "burst_last", "burst_n", "burst_positions")
+        rows.join(parts, "cell")
+        .filter("coalesce(rec_idx, -1) between first and last")
+        .groupBy("lane", "burst_first", "burst_last", "burst_n", "burst_positions")
         .agg(F.count_distinct("tag").alias("n_lines"))
         .select(
-            "rw",
-            "set_idx",
+            *_lane_columns(F.col("lane")),
             "n_lines",
             F.expr("cast(burst_positions div burst_n as bigint)").alias("center"),
             F.col("burst_n").alias("n_access"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from burstlens.operators.coords import kinds_of, select_kinds, with_cache_coords
 from burstlens.operators.gaps import DEFAULT_CHUNK
 from burstlens.profiles import FETCH, CacheProfile, profile_of
 from burstlens.sources.binary import read_trace
+from burstlens.sources.checkpoints import shared_dir
 
 # Kind names in verdicts.
 KIND_NAMES = {1: "READ", 0: "WRITE", FETCH: "FETCH"}
@@ -65,19 +68,24 @@ def detect(
     )
 
 
-def pruning(scope: str | CacheProfile, mode: str | None = None) -> dict:
-    """What ``read_trace`` may leave out for one analysis: see its ``prune``.
+def pruning(
+    scope: str | CacheProfile, mode: str | None = None, exact_tag: bool = False
+) -> dict:
+    """What may be left out of a trace for one analysis.
 
-    Only accesses in runs of at least ``min_len`` can make a qualifying burst, so
-    a trace read with this gives ``detect`` the same result from far fewer rows.
-    Other operators (histograms, all bursts) need the unpruned trace.
+    For ``read_trace(prune=...)``. Only accesses in runs of at
+    least ``min_len`` accesses and ``min_tags`` tags can make a qualifying burst, so
+    ``detect`` gives the same result from far fewer rows. Other operators
+    (histograms, all bursts) need the unpruned trace.
     """
     profile = profile_of(scope)
     return {
         "kinds": list(kinds_of(profile, mode)) if profile.has_kinds else None,
         "line_bits": profile.line_bits,
         "set_mask": profile.set_mask,
+        "tag_shift": profile.exact_tag_shift if exact_tag else profile.tag_shift,
         "min_len": max(profile.assoc, 2),
+        "min_tags": profile.assoc,
         "intra": profile.intra,
     }
 
@@ -87,16 +95,23 @@ def detect_file(
     paths: str | list[str],
     scope: str | CacheProfile,
     mode: str | None = None,
+    exact_tag: bool = False,
     **options,
 ) -> DataFrame:
-    """``detect`` on binary traces, pruned while decoding.
+    """``detect`` on binary traces, decoded once and pruned while decoding.
 
-    The shuffle then carries candidate accesses only instead of the whole trace.
+    The candidate accesses, commonly a small part of the trace, are written to the
+    checkpoint folder as a table, and the analysis runs on that: the trace itself is
+    never shuffled, and a lost executor does not cause it to be decoded again.
     """
     profile = profile_of(scope)
     kind = "data" if profile.has_kinds else "fetch"
-    trace = read_trace(spark, paths, kind, prune=pruning(profile, mode))
-    return detect(trace, profile, mode, **options)
+    rule = pruning(profile, mode, exact_tag)
+    candidates = read_trace(spark, paths, kind, prune=rule)
+    table = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    candidates.write.parquet(table)
+    stored = spark.read.schema(candidates.schema).parquet(table)
+    return detect(stored, profile, mode, exact_tag=exact_tag, **options)
 
 
 def detections_by_set(found: DataFrame, span: int = DEFAULT_CHUNK) -> DataFrame:

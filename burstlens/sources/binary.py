@@ -21,7 +21,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource,
@@ -31,6 +30,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from burstlens.functions.candidates import candidate_mask
+from burstlens.workers import ship_code
+
 FORMAT = "burstlens_trace"
 # 64-bit words per record of each trace kind.
 WORDS = {"data": 2, "fetch": 1}
@@ -94,25 +96,6 @@ class FileWritten(WriterCommitMessage):
     final: str
 
 
-def _candidates(idx, key, lo: int, hi: int, min_len: int, intra: int):
-    """Mask of the records that may belong to a burst of ``min_len`` accesses.
-
-    ``idx`` ascends within [lo, hi). Runs that reach the border of that range are
-    kept, since they may go on outside.
-    """
-    order = np.argsort(key, kind="stable")
-    k, i = key[order], idx[order]
-    new_run = np.ones(len(i), dtype=bool)
-    new_run[1:] = (k[1:] != k[:-1]) | (i[1:] - i[:-1] >= intra)
-    start = np.flatnonzero(new_run)
-    length = np.diff(np.append(start, len(i)))
-    end = start + length - 1
-    keep = (length >= min_len) | (i[start] - lo < intra - 1) | (hi - i[end] < intra)
-    mask = np.empty(len(i), dtype=bool)
-    mask[order] = np.repeat(keep, length)
-    return mask
-
-
 class TraceReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.paths = json.loads(options["paths"])
@@ -149,16 +132,7 @@ class TraceReader(DataSourceReader):
         hi = lo + len(block)
         idx = np.arange(lo, hi, dtype=np.int64)
         if self.prune:
-            p = self.prune
-            if p["kinds"] is not None:
-                wanted = np.isin(block[:, 0], np.array(p["kinds"], dtype=np.uint64))
-                block, idx = block[wanted], idx[wanted]
-            sets = (block[:, -1] >> np.uint64(p["line_bits"])) & np.uint64(p["set_mask"])
-            if p["kinds"] is not None:
-                sets = (sets << np.uint64(1)) | block[:, 0]
-            # Sets and kind fit 16 bits on common caches, which sort much faster.
-            key = sets.astype(np.uint16) if p["set_mask"] < 1 << 15 else sets
-            mask = _candidates(idx, key, lo, hi, p["min_len"], p["intra"])
+            mask = candidate_mask(idx, block[:, 0], block[:, -1], lo, hi, self.prune)
             block, idx = block[mask], idx[mask]
         words = block.astype("<u8").view("<i8")
         for at in range(0, len(idx), 1 << 16):
@@ -231,10 +205,7 @@ class TraceSource(DataSource):
 
 
 def _register(spark: SparkSession) -> None:
-    # Ship this module's code by value: workers need no copy of the package.
-    import burstlens.sources.binary as module
-
-    cloudpickle.register_pickle_by_value(module)
+    ship_code()
     spark.dataSource.register(TraceSource)
 
 
@@ -254,7 +225,7 @@ def read_trace(
 
     ``paths``: files, directories or patterns, as a list or comma-separated;
     records are numbered through in that order. A file with a partial last record
-    is an error. ``prune`` comes from ``plans.pruning``: records that cannot matter
+    is an error. ``prune`` comes from ``plans.detect.pruning``: records that cannot matter
     to one given analysis are left out while decoding (numbers stay the same).
     """
     if kind not in WORDS:
@@ -275,6 +246,7 @@ def read_trace(
 
 
 def _read_by_hadoop(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    ship_code()
     words = WORDS[kind]
     records = spark.sparkContext.binaryRecords(",".join(paths), words * WORD_BYTES)
     numbered = spark.createDataFrame(
