@@ -18,7 +18,7 @@ traces known to be short (see ``plans.detect``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.operators.gaps import DEFAULT_CHUNK
@@ -28,14 +28,11 @@ from burstlens.profiles import FETCH, READ, WRITE, CacheProfile
 _KINDS = 3
 # Stands for "no chunks": larger than any record number.
 _ENDLESS = 1 << 62
-
-
-def _long(value: int) -> Column:
-    return F.lit(value).cast("long")
-
-
-def _up_to_now(w):
-    return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+# Parts of window expressions.
+_UP_TO_NOW = "rows unbounded preceding"
+_IN_CELL = "over (partition by cell order by rec_idx"
+_IN_STRAND = "over (partition by strand order by first"
+_OF_BURST = "over (partition by strand, burst_first)"
 
 
 def _rows(coords: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
@@ -46,9 +43,9 @@ def _rows(coords: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
     filters, dropped aliases) and the two uses could no longer share one exchange.
     """
     kind = f"(coalesce(rw, {FETCH}) - {FETCH})"
-    cell = F.expr(f"(rec_idx div {chunk}) * {_lanes(profile)} + set_idx * {_KINDS} + {kind}")
-    return coords.filter(F.coalesce("rw", _long(FETCH)).isin(FETCH, WRITE, READ)).select(
-        F.coalesce(cell, _long(0)).alias("cell"), "rec_idx", "tag"
+    cell = f"(rec_idx div {chunk}) * {_lanes(profile)} + set_idx * {_KINDS} + {kind}"
+    return coords.filter(f"coalesce(rw, {FETCH}) in ({FETCH}, {WRITE}, {READ})").selectExpr(
+        f"coalesce({cell}, 0L) as cell", "rec_idx", "tag"
     )
 
 
@@ -57,16 +54,12 @@ def _lanes(profile: CacheProfile) -> int:
     return profile.n_sets * _KINDS
 
 
-def _lane_columns(lane: Column) -> list[Column]:
+def _lane_columns(lane: str) -> list[str]:
     """Kind and set of a lane number."""
-    kind = lane % _KINDS
-    return [
-        (kind + FETCH).alias("rw"),
-        ((lane - kind) / _KINDS).cast("long").alias("set_idx"),
-    ]
+    return [f"({lane}) % {_KINDS} + {FETCH}L as rw", f"({lane}) div {_KINDS} as set_idx"]
 
 
-def _dense_rows(rows: DataFrame, w, profile: CacheProfile, chunk: int) -> DataFrame:
+def _dense_rows(rows: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
     """Drop rows that cannot be part of a burst of ``assoc`` accesses.
 
     In a burst of m accesses every access has at least m // 2 others on one side,
@@ -76,16 +69,14 @@ def _dense_rows(rows: DataFrame, w, profile: CacheProfile, chunk: int) -> DataFr
     """
     k = max(profile.assoc, 2) // 2
     reach = k * (profile.intra - 1)
-    offset = F.col("rec_idx") % chunk
-    before = F.col("rec_idx") - F.lag("rec_idx", k).over(w)
-    after = F.lead("rec_idx", k).over(w) - F.col("rec_idx")
     return (
-        rows.select(
+        rows.selectExpr(
             "*",
-            F.coalesce(before, offset + 1).alias("before"),
-            F.coalesce(after, chunk - offset).alias("after"),
+            f"coalesce(rec_idx - lag(rec_idx, {k}) {_IN_CELL}), rec_idx % {chunk} + 1) as before",
+            f"coalesce(lead(rec_idx, {k}) {_IN_CELL}) - rec_idx, {chunk} - rec_idx % {chunk})"
+            " as after",
         )
-        .filter((F.col("before") <= reach) | (F.col("after") <= reach))
+        .filter(f"before <= {reach} or after <= {reach}")
         .select(*rows.columns)
     )
 
@@ -94,34 +85,34 @@ def _fragments(
     rows: DataFrame, profile: CacheProfile, chunk: int, only_qualifying: bool
 ) -> DataFrame:
     """Bursts cut at chunk borders: one row per fragment."""
-    w = Window.partitionBy("cell").orderBy("rec_idx")
     if only_qualifying:
-        rows = _dense_rows(rows, w, profile, chunk)
-    gap = F.col("rec_idx") - F.lag("rec_idx").over(w)
-    start = F.when(gap < profile.intra, None).otherwise(F.col("rec_idx"))
+        rows = _dense_rows(rows, profile, chunk)
     return (
-        rows.select("*", start.alias("start"))
-        .select("*", F.max("start").over(_up_to_now(w)).alias("first"))
+        rows.selectExpr(
+            "*",
+            f"if(rec_idx - lag(rec_idx) {_IN_CELL}) < {profile.intra}, null, rec_idx) as start",
+        )
+        .selectExpr("*", f"max(start) {_IN_CELL} {_UP_TO_NOW}) as first")
         .groupBy("cell", "first")
         .agg(
-            F.max("rec_idx").alias("last"),
-            F.count("*").alias("n"),
-            F.sum(F.col("rec_idx") % chunk).alias("offsets"),
-            F.count_distinct("tag").alias("tags"),
+            F.expr("max(rec_idx) as last"),
+            F.expr("count(*) as n"),
+            F.expr(f"sum(rec_idx % {chunk}) as offsets"),
+            F.expr("count(distinct tag) as tags"),
         )
     )
 
 
-def _as_bursts(frags: DataFrame, lane: Column, chunk: int) -> DataFrame:
+def _as_bursts(frags: DataFrame, lane: str, chunk: int) -> DataFrame:
     """The burst table of bursts that are one fragment each."""
-    return frags.select(
+    return frags.selectExpr(
         *_lane_columns(lane),
         # A single access makes no pair and so counts no line.
-        F.expr("if(n > 1, tags, 0L)").alias("n_lines"),
-        F.expr(f"first - first % {chunk} + offsets div n").alias("center"),
-        F.col("n").alias("n_access"),
-        F.col("first").alias("first_idx"),
-        F.col("last").alias("last_idx"),
+        "if(n > 1, tags, 0L) as n_lines",
+        f"first - first % {chunk} + offsets div n as center",
+        "n as n_access",
+        "first as first_idx",
+        "last as last_idx",
     )
 
 
@@ -137,30 +128,26 @@ def _stitched(
     is_open = f"(first % {chunk} < {profile.intra - 1} or last % {chunk} > {chunk - profile.intra})"
     if only_qualifying:
         frags = frags.filter(f"{is_open} or (n > 1 and tags >= {profile.assoc})")
-    frags = frags.select(
-        F.expr(f"if({is_open}, -1 - cell % {_lanes(profile)}, cell)").alias("strand"),
+    frags = frags.selectExpr(
+        f"if({is_open}, -1 - cell % {_lanes(profile)}, cell) as strand",
         *("first", "last", "n", "offsets", "tags"),
     )
 
-    by_strand = Window.partitionBy("strand").orderBy("first")
-    burst = Window.partitionBy("strand", "burst_first")
-    gap = F.col("first") - F.lag("last").over(by_strand)
-    start = F.when(gap < profile.intra, None).otherwise(F.col("first"))
     # Record numbers of a whole burst can add up beyond a LONG.
-    positions = F.expr(
-        f"""cast(cast(first - first % {chunk} as decimal(19, 0)) * cast(n as decimal(18, 0))
-                 + offsets as decimal(38, 0))"""
-    )
+    positions = f"""cast(cast(first - first % {chunk} as decimal(19, 0)) * cast(n as decimal(18, 0))
+                         + offsets as decimal(38, 0))"""
     stitched = (
-        frags.select("*", start.alias("start"))
-        .select("*", F.max("start").over(_up_to_now(by_strand)).alias("burst_first"))
-        .select(
+        frags.selectExpr(
+            "*", f"if(first - lag(last) {_IN_STRAND}) < {profile.intra}, null, first) as start"
+        )
+        .selectExpr("*", f"max(start) {_IN_STRAND} {_UP_TO_NOW}) as burst_first")
+        .selectExpr(
             "*",
-            F.count("*").over(burst).alias("burst_frags"),
-            F.max("last").over(burst).alias("burst_last"),
-            F.sum("n").over(burst).alias("burst_n"),
-            F.sum(positions).over(burst).alias("burst_positions"),
-            F.sum("tags").over(burst).alias("most_tags"),
+            f"count(*) {_OF_BURST} as burst_frags",
+            f"max(last) {_OF_BURST} as burst_last",
+            f"sum(n) {_OF_BURST} as burst_n",
+            f"sum({positions}) {_OF_BURST} as burst_positions",
+            f"sum(tags) {_OF_BURST} as most_tags",
         )
     )
     if only_qualifying:
@@ -176,13 +163,13 @@ def _bursts(
     rows = _rows(coords, profile, chunk or _ENDLESS)
     frags = _fragments(rows, profile, chunk or _ENDLESS, only_qualifying)
     if chunk is None:
-        return _as_bursts(frags, F.col("cell"), _ENDLESS)
+        return _as_bursts(frags, "cell", _ENDLESS)
 
     lanes = _lanes(profile)
     stitched = _stitched(frags, profile, chunk, only_qualifying)
     whole = _as_bursts(
         stitched.filter("burst_frags = 1"),
-        F.expr(f"if(strand < 0, -1 - strand, strand % {lanes})"),
+        f"if(strand < 0, -1 - strand, strand % {lanes})",
         chunk,
     )
     # Fragments of longer bursts are all open.
@@ -196,13 +183,13 @@ def _bursts(
         .filter("coalesce(rec_idx, -1) between first and last")
         .groupBy("lane", "burst_first", "burst_last", "burst_n", "burst_positions")
         .agg(F.count_distinct("tag").alias("n_lines"))
-        .select(
-            *_lane_columns(F.col("lane")),
+        .selectExpr(
+            *_lane_columns("lane"),
             "n_lines",
-            F.expr("cast(burst_positions div burst_n as bigint)").alias("center"),
-            F.col("burst_n").alias("n_access"),
-            F.col("burst_first").alias("first_idx"),
-            F.col("burst_last").alias("last_idx"),
+            "cast(burst_positions div burst_n as bigint) as center",
+            "burst_n as n_access",
+            "burst_first as first_idx",
+            "burst_last as last_idx",
         )
     )
     return whole.unionByName(spanning)

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlens.operators.gaps import DEFAULT_CHUNK
+from burstlens.operators.gaps import DEFAULT_CHUNK, per_set_table
 from burstlens.profiles import CacheProfile
 
 _TILE_KEYS = ["rw", "set_idx", "tile"]
-# Per-set tables have at most one row per set and kind; up to this many sets
-# they are small enough to broadcast however long the trace is.
-_BROADCAST_SETS = 1 << 18
-
-
-def _per_set(df: DataFrame, profile: CacheProfile) -> DataFrame:
-    return F.broadcast(df) if profile.n_sets <= _BROADCAST_SETS else df
-
-
-def _in_tiles(bursts: DataFrame, chunk: int):
-    """Bursts with their tile, a range of centres, and the window inside it."""
-    tiled = bursts.select("*", F.expr(f"center div {chunk}").alias("tile"))
-    return tiled, Window.partitionBy(*_TILE_KEYS).orderBy("center")
-
 
 def first_chains(bursts: DataFrame, inter: int, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Length of the first chain of every set and kind, and where it ends.
@@ -31,58 +17,67 @@ def first_chains(bursts: DataFrame, inter: int, chunk: int = DEFAULT_CHUNK) -> D
     its predecessor; ``chain_end`` is that burst's centre, NULL if there is none.
     Only one row per tile is windowed over the set.
     """
-    tiled, w = _in_tiles(bursts, chunk)
-    far = F.col("center") - F.lag("center").over(w) > inter
+    in_tile = "over (partition by rw, set_idx, tile order by center)"
+    in_set = "over (partition by rw, set_idx order by tile"
     tiles = (
-        tiled.select(*_TILE_KEYS, "center", F.row_number().over(w).alias("rank"), far.alias("far"))
+        bursts.selectExpr("rw", "set_idx", f"center div {chunk} as tile", "center")
+        .selectExpr(
+            "*",
+            f"row_number() {in_tile} as rank",
+            f"center - lag(center) {in_tile} > {inter} as far",
+        )
         .groupBy(*_TILE_KEYS)
         .agg(
-            F.min("center").alias("first_center"),
-            F.max("center").alias("last_center"),
-            F.count("*").alias("n"),
-            F.min(F.when(F.col("far"), F.col("center"))).alias("cut"),
-            F.min(F.when(F.col("far"), F.col("rank"))).alias("cut_rank"),
+            F.expr("min(center) as first_center"),
+            F.expr("max(center) as last_center"),
+            F.expr("count(*) as n"),
+            F.expr("min(if(far, center, null)) as cut"),
+            F.expr("min(if(far, rank, null)) as cut_rank"),
         )
     )
-    by_set = Window.partitionBy("rw", "set_idx").orderBy("tile")
-    earlier = by_set.rowsBetween(Window.unboundedPreceding, -1)
-    entry_far = F.col("first_center") - F.lag("last_center").over(by_set) > inter
-    members = F.coalesce(F.col("cut_rank") - 1, F.col("n"))
     return (
-        tiles.select("*", F.coalesce(entry_far, F.lit(False)).alias("entry_far"))
-        .select(
+        tiles.selectExpr(
+            "*",
+            f"coalesce(first_center - lag(last_center) {in_set}) > {inter}, false) as entry_far",
+        )
+        .selectExpr("*", "if(entry_far, first_center, cut) as end")
+        .selectExpr(
             "*",
-            F.when(F.col("entry_far"), F.col("first_center")).otherwise(F.col("cut")).alias("end"),
+            f"""coalesce(max(end is not null) {in_set}
+                         rows between unbounded preceding and 1 preceding), false) as ended""",
         )
-        .select("*", F.max(F.col("end").isNotNull()).over(earlier).alias("ended"))
         .groupBy("rw", "set_idx")
         .agg(
-            F.min("end").alias("chain_end"),
-            F.sum(
-                F.when(F.col("entry_far") | F.coalesce("ended", F.lit(False)), 0).otherwise(members)
-            ).alias("chain_len"),
+            F.expr("min(end) as chain_end"),
+            F.expr(
+                "sum(if(ended or entry_far, 0, coalesce(cut_rank - 1, n))) as chain_len"
+            ),
         )
     )
 
 
 def _with_neighbours(bursts: DataFrame, chunk: int) -> DataFrame:
     """Bursts with the centres of their set's previous and next burst."""
-    tiled, w = _in_tiles(bursts, chunk)
-    by_set = Window.partitionBy("rw", "set_idx").orderBy("tile")
+    in_tile = "over (partition by rw, set_idx, tile order by center)"
+    in_set = "over (partition by rw, set_idx order by tile)"
+    tiled = bursts.selectExpr("*", f"center div {chunk} as tile")
     edges = (
         tiled.groupBy(*_TILE_KEYS)
-        .agg(F.min("center").alias("low"), F.max("center").alias("high"))
-        .withColumn("tile_prev", F.lag("high").over(by_set))
-        .withColumn("tile_next", F.lead("low").over(by_set))
-        .drop("low", "high")
+        .agg(F.expr("min(center) as low"), F.expr("max(center) as high"))
+        .selectExpr(
+            *_TILE_KEYS, f"lag(high) {in_set} as tile_prev", f"lead(low) {in_set} as tile_next"
+        )
     )
     return (
-        tiled.select(
-            "*", F.lag("center").over(w).alias("in_prev"), F.lead("center").over(w).alias("in_next")
+        tiled.selectExpr(
+            "*", f"lag(center) {in_tile} as in_prev", f"lead(center) {in_tile} as in_next"
         )
         .join(edges, _TILE_KEYS)
-        .withColumn("prev", F.coalesce("in_prev", "tile_prev"))
-        .withColumn("next", F.coalesce("in_next", "tile_next"))
+        .selectExpr(
+            *bursts.columns,
+            "coalesce(in_prev, tile_prev) as prev",
+            "coalesce(in_next, tile_next) as next",
+        )
     )
 
 
@@ -101,23 +96,21 @@ def link_bursts(
     if profile.inter is None:
         return bursts
     if all_chains:
-        near_prev = F.col("center") - F.col("prev") <= profile.inter
-        near_next = F.col("next") - F.col("center") <= profile.inter
-        return _with_neighbours(bursts, chunk or DEFAULT_CHUNK).filter(near_prev | near_next).select(*bursts.columns)
+        near = f"center - prev <= {profile.inter} or next - center <= {profile.inter}"
+        neighbours = _with_neighbours(bursts, chunk or DEFAULT_CHUNK)
+        return neighbours.filter(near).select(*bursts.columns)
     return _members(bursts, profile, 2, chunk)
 
 
 def _members_whole(bursts: DataFrame, inter: int, min_len: int) -> DataFrame:
     """First chains by windows over whole sets, for short traces."""
-    w = Window.partitionBy("rw", "set_idx").orderBy("center")
-    up_to_now = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = F.col("center") - F.lag("center").over(w) > inter
+    in_set = "over (partition by rw, set_idx order by center"
     return (
-        bursts.select("*", far.alias("far"))
-        .select("*", F.coalesce(F.max("far").over(up_to_now), F.lit(False)).alias("ended"))
-        .filter(~F.col("ended"))
-        .select("*", F.count("*").over(Window.partitionBy("rw", "set_idx")).alias("chain_len"))
-        .filter(F.col("chain_len") >= min_len)
+        bursts.selectExpr("*", f"center - lag(center) {in_set}) > {inter} as far")
+        .selectExpr("*", f"coalesce(max(far) {in_set} rows unbounded preceding), false) as ended")
+        .filter("not ended")
+        .selectExpr("*", "count(*) over (partition by rw, set_idx) as chain_len")
+        .filter(f"chain_len >= {min_len}")
         .select(*bursts.columns)
     )
 
@@ -129,8 +122,8 @@ def _members(
         return _members_whole(bursts, profile.inter, min_len)
     chains = first_chains(bursts, profile.inter, chunk).filter(F.col("chain_len") >= min_len)
     return (
-        bursts.join(_per_set(chains, profile), ["rw", "set_idx"])
-        .filter(F.col("chain_end").isNull() | (F.col("center") < F.col("chain_end")))
+        bursts.join(per_set_table(chains, profile), ["rw", "set_idx"])
+        .filter("chain_end is null or center < chain_end")
         .select(*bursts.columns)
     )
 
@@ -152,6 +145,6 @@ def detections(
         .filter(F.col("n") > num_pp)
         .select("rw", "set_idx")
     )
-    return linked.join(_per_set(enough, profile), ["rw", "set_idx"], "left_semi").select(
+    return linked.join(per_set_table(enough, profile), ["rw", "set_idx"], "left_semi").select(
         *linked.columns
     )

@@ -16,6 +16,13 @@ from burstlens.profiles import CacheProfile
 DEFAULT_CHUNK = 1 << 20
 
 _CHUNK_KEYS = ["rw", "set_idx", "chunk"]
+# A table with one row per set and kind does not grow with the trace; up to this
+# many sets it is small enough to broadcast.
+_BROADCAST_SETS = 1 << 18
+
+
+def per_set_table(df: DataFrame, profile: CacheProfile) -> DataFrame:
+    return F.broadcast(df) if profile.n_sets <= _BROADCAST_SETS else df
 
 
 def _by_chunk(coords: DataFrame, chunk: int):
@@ -90,12 +97,13 @@ def set_histogram(coords: DataFrame) -> DataFrame:
 def prune_sets(coords: DataFrame, profile: CacheProfile) -> DataFrame:
     """Keep the accesses of sets with at least ``assoc`` distinct tags.
 
-    The kept-set table has at most one row per set and kind, whatever the size
-    of the trace, so it is broadcast.
+    A burst cannot have more tags than its set, so no detection is lost.
     """
     kept = (
         set_histogram(coords.filter(F.col("rw").isin(0, 1, -1)))
         .filter(F.col("n_tags") >= profile.assoc)
         .select("rw", "set_idx")
     )
-    return coords.join(F.broadcast(kept), ["rw", "set_idx"], "left_semi").select(*coords.columns)
+    return coords.join(per_set_table(kept, profile), ["rw", "set_idx"], "left_semi").select(
+        *coords.columns
+    )

@@ -22,6 +22,22 @@ def duck():
     con.close()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.codegen.wholeStage": "true",
+        "spark.sql.codegen.factoryMode": "FALLBACK",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def _sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(([r[i] for i in order] for r in rows), key=str)

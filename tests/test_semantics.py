@@ -12,7 +12,7 @@ from burstlens import (
 )
 from tests.helpers import READ, WRITE, access, burst, keyed, table, triples
 
-PLANS = [dict(plan="auto"), dict(plan="chunked"), dict(plan="chunked", chunk=5)]
+PLANS = [dict(plan="auto"), dict(plan="chunked", chunk=5)]
 L1 = PROFILES["L1D"]
 
 
