@@ -22,12 +22,20 @@ KIND_NAMES = {1: "READ", 0: "WRITE", FETCH: "FETCH"}
 PLANS = ("auto", "chunked", "whole")
 
 
+# Bytes of a trace record, roughly, in Spark's size estimates.
+_RECORD_BYTES = 32
+
+
 def fits_one_chunk(trace: DataFrame, chunk: int) -> bool:
-    """Whether every record number is below ``chunk``.
+    """Whether every record number is known to be below ``chunk``.
 
-    Looks for a single counter-example, with the comparison pushed to the scan:
-    short traces are skipped by their statistics, long ones answer early.
+    Spark's size estimate decides whether it is worth asking: large traces, and
+    those of unknown size or from joins, get "no" without a job. For the rest a
+    single counter-example is looked for, with the comparison pushed to the scan.
     """
+    estimate = trace._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > chunk * _RECORD_BYTES:
+        return False
     return trace.filter(F.col("rec_idx") >= chunk).isEmpty()
 
 
@@ -48,8 +56,8 @@ def detect(
     ``exact_tag`` and ``all_chains`` are additions with a default of off.
 
     ``plan`` is "chunked" (any size), "whole" (windows over whole sets, one stage;
-    only for short traces) or "auto": whole if no record number reaches ``chunk``,
-    so that no task can ever get more than ``chunk`` rows of one set.
+    only for short traces) or "auto": whole if the trace is small and no record number
+    reaches ``chunk``, so that no task can ever get more than ``chunk`` rows of one set.
     """
     if plan not in PLANS:
         raise ValueError(f"plan must be one of {PLANS}, got {plan!r}")

@@ -59,7 +59,7 @@ def test_bursts_and_detections_equal_the_walk(spark, name, profile):
         columns = ("rw", "set_idx", "n_lines", "center", "n_access", "first_idx", "last_idx")
         assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == bursts, chunk
     want = [(None if k == -1 else k, *rest) for k, *rest in found]
-    for options in (dict(), dict(chunk=29), dict(chunk=3)):
+    for options in (dict(plan="whole"), dict(chunk=29), dict(chunk=3)):
         got = detect(trace, profile, "BOTH", **options)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), options
 
@@ -68,7 +68,7 @@ def test_bursts_and_detections_equal_the_walk(spark, name, profile):
 def test_all_chains_equal_the_walk(spark, name):
     rows = TRACES[name]
     _, found = walk(rows, LOOSE, (0, 1), all_chains=True)
-    for options in (dict(), dict(chunk=50)):
+    for options in (dict(plan="whole"), dict(chunk=50)):
         got = detect(table(spark, rows), LOOSE, "BOTH", all_chains=True, **options)
         assert keyed(got) == found
 
@@ -82,7 +82,7 @@ def test_dropping_hopeless_rows_changes_no_qualifying_burst(spark):
 
 def test_result_does_not_depend_on_partitions_or_input_order(spark):
     rows = random_trace(11)
-    want = keyed(detect(table(spark, rows), TIGHT, "BOTH"))
+    want = keyed(detect(table(spark, rows), TIGHT, "BOTH", plan="whole"))
     assert want
     random.Random(1).shuffle(rows)
     for parts, chunk in ((1, 40), (64, 40), (8, 1 << 20)):

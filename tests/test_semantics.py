@@ -12,11 +12,12 @@ from burstlens import (
 )
 from tests.helpers import READ, WRITE, access, burst, keyed, table, triples
 
-PLANS = [dict(plan="auto"), dict(plan="chunked", chunk=5)]
+PLANS = [dict(plan="whole"), dict(plan="chunked", chunk=5)]
 L1 = PROFILES["L1D"]
 
 
-def l1(spark, rows, mode="READ", scope="L1D", **options):
+def l1(spark, rows, mode="READ", scope="L1D", plan="whole", **options):
+    options["plan"] = plan
     return triples(detect(table(spark, rows), scope, mode, **options))
 
 

@@ -22,6 +22,7 @@ from burstlens import (
     with_ordinal,
     write_report,
 )
+from burstlens.plans.detect import fits_one_chunk
 from burstlens.sources.tables import events_trace
 from tests.helpers import WRITE, burst, table
 
@@ -187,6 +188,15 @@ def test_long_traces_share_one_shuffle_of_the_rows(spark):
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
+def test_the_plan_follows_the_size(spark):
+    trace = events_trace(spark, SF)
+    assert fits_one_chunk(trace, 1 << 20)
+    assert not fits_one_chunk(trace, 999)
+    # 1000 records of unknown size, and the product that a join may be.
+    assert not fits_one_chunk(spark.createDataFrame(trace.rdd, trace.schema), 1 << 20)
+    assert not fits_one_chunk(trace.join(trace.select("rec_idx"), "rec_idx"), 2000)
+
+
 def test_bursts_are_aggregated_in_the_stage_of_the_shuffle(spark):
     p = PROFILES["LLC"]
     plan = _plan(burst_stats(with_cache_coords(events_trace(spark, SF), p), p, chunk=None))
