@@ -138,7 +138,7 @@ def test_without_inter_all_qualifying_bursts_count(spark, plan):
 
 @pytest.mark.parametrize("plan", PLANS)
 def test_num_pp_raises_the_needed_number(spark, plan):
-    rows = burst(0) + burst(100) + burst(200) + burst(0, s=6)[:0] + burst(300, s=6) + burst(400, s=6)
+    rows = burst(0) + burst(100) + burst(200) + burst(300, s=6) + burst(400, s=6)
     assert l1(spark, rows, num_pp=2, **plan) == [(5, 8, 3), (5, 8, 103), (5, 8, 203)]
     assert l1(spark, rows, num_pp=3, **plan) == []
 
