@@ -21,6 +21,19 @@ from burstlens.plans import report  # noqa: E402
 from burstlens.sources import tables  # noqa: E402
 from burstlens.sources.checkpoints import shared_dir  # noqa: E402
 
+try:  # the operators for training text are an optional part
+    from burstlens.llm import queries as training_text
+except ImportError as absent:
+    if not (absent.name or "").startswith("burstlens.llm"):
+        raise
+    training_text = None
+try:
+    import corpus_pipeline
+except ImportError as absent:
+    if absent.name != "corpus_pipeline" and not (absent.name or "").startswith("burstlens.llm"):
+        raise
+    corpus_pipeline = None
+
 L1D, L1I, LLC = bl.PROFILES["L1D"], bl.PROFILES["L1I"], bl.PROFILES["LLC"]
 # Chunk size of the *_chunked queries: small, and no divisor of the traces' periods,
 # so that many bursts cross a chunk border even on small tables.
@@ -148,6 +161,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for scope in ("l1d", "llc"):
         for mode in ("read", "write", "both"):
             q[f"detect_{scope}_{mode}"] = _detect(scope.upper(), mode.upper())
+    if training_text:
+        q |= training_text.queries()
+    if corpus_pipeline:
+        q["pipeline"] = corpus_pipeline.run
     return q
 
 
@@ -333,4 +350,8 @@ SELECT co.* FROM co SEMI JOIN k USING (rw, set_idx)"""
     o["detect_file_l1d_both"] = o["detect_l1d_both"]
     o["detect_file_llc_read"] = o["detect_llc_read"]
     o["detect_file_l1i"] = o["detect_l1i"]
+    if training_text:
+        o |= training_text.oracle_sql()
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        o["pipeline"] = corpus_pipeline.ORACLE_SQL
     return o
