@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from burstlens.llm.places import fresh
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +22,36 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
+    """Law ``rows``: counts of shards at most one apart."""
+    from burstlens.llm.sharding import shard_by_mixture
+
+    text = F.coalesce("text", F.lit(""))
+    rows = _documents(spark, d).select(
+        "doc_id",
+        "source",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    return shard_by_mixture(rows, 16).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.token_files import read_token_files, write_token_files
+
+    path = fresh(spark, "tokens")
+    write_token_files(_documents(spark, d), path, BYTE_BPE, end_id=0)
+    return read_token_files(spark, path)
+
+
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_counts import count_tokens
 
@@ -26,11 +59,42 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(docs, BYTE_BPE).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+# CRC-32 by its bit-wise rule: a table made in eight rounds, then a step for each byte.
+_SHARDS_SQL = """
+WITH RECURSIVE steps AS (
+    SELECT 0 AS round, list_transform(range(256), lambda x: CAST(x AS BIGINT)) AS t
+    UNION ALL
+    SELECT round + 1, list_transform(t, lambda x: xor(x >> 1, 3988292384 * (x % 2)))
+    FROM steps WHERE round < 8),
+  crc AS (SELECT t FROM steps WHERE round = 8),
+  raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+  d AS (SELECT doc_id, source, len(digits) // 2 + 1 AS size,
+      xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+        range(len(digits) // 2), lambda i: CAST(('0x' || digits[2 * i + 1:2 * i + 2]) AS BIGINT))),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32,
+      coalesce(source, '') AS s, source IS NULL AS none,
+      CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '\u2205')), 1, 15)
+           AS BIGINT) AS k
+    FROM raw, crc),
+  r AS (SELECT *, row_number() OVER (PARTITION BY s, none
+                                     ORDER BY k, doc_id, source, size, text_crc32) - 1 AS i,
+               count(*) OVER (PARTITION BY s, none) AS n FROM d),
+  p AS (SELECT *, row_number() OVER (ORDER BY (i + CAST(0.5 AS DOUBLE)) / n, s, none, k,
+                                     doc_id, source, size, text_crc32) - 1 AS place,
+               count(*) OVER () AS total FROM r),
+  c AS (SELECT *, (place * 16) // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
+       place - (shard * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM c"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
+        "op5_token_files": op5_token_files,
         "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sharding": _SHARDS_SQL}
