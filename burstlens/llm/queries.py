@@ -52,6 +52,15 @@ def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op7_simhash_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.simhash import near_duplicates
+
+    digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
+    return near_duplicates(_documents(spark, d)).select(
+        "doc_id", digits.alias("fingerprint"), "component_id"
+    )
+
+
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_counts import count_tokens
 
@@ -59,23 +68,24 @@ def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(docs, BYTE_BPE).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-# CRC-32 by its bit-wise rule: a table made in eight rounds, then a step for each byte.
-_SHARDS_SQL = """
-WITH RECURSIVE steps AS (
-    SELECT 0 AS round, list_transform(range(256), lambda x: CAST(x AS BIGINT)) AS t
-    UNION ALL
-    SELECT round + 1, list_transform(t, lambda x: xor(x >> 1, 3988292384 * (x % 2)))
-    FROM steps WHERE round < 8),
-  crc AS (SELECT t FROM steps WHERE round = 8),
-  raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+def _crc_steps() -> list[int]:
+    """What a byte does to a CRC-32: eight halvings, each with the polynomial if odd."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 * (x % 2)) for x in table]
+    return table
+
+
+_SHARDS_SQL = f"""
+WITH raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS digits FROM documents),
   d AS (SELECT doc_id, source, len(digits) // 2 + 1 AS size,
       xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(
         range(len(digits) // 2), lambda i: CAST(('0x' || digits[2 * i + 1:2 * i + 2]) AS BIGINT))),
-        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS text_crc32,
+        lambda c, b: xor(c >> 8, list_extract({_crc_steps()}, xor(c & 255, b) + 1)))) AS text_crc32,
       coalesce(source, '') AS s, source IS NULL AS none,
       CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '\u2205')), 1, 15)
            AS BIGINT) AS k
-    FROM raw, crc),
+    FROM raw),
   r AS (SELECT *, row_number() OVER (PARTITION BY s, none
                                      ORDER BY k, doc_id, source, size, text_crc32) - 1 AS i,
                count(*) OVER (PARTITION BY s, none) AS n FROM d),
@@ -92,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op5_token_files": op5_token_files,
+        "op7_simhash_duplicates": op7_simhash_duplicates,
         "op9_token_counts": op9_token_counts,
     }
 
