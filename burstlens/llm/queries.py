@@ -44,6 +44,21 @@ def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.decontaminate import find_contamination
+
+    docs = _documents(spark, d).select("doc_id", "text")
+    found = find_contamination(docs, spark.read.parquet(f"{d}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_files import read_token_files, write_token_files
 
@@ -98,9 +113,36 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard,
 FROM c"""
 
 
+_WORDS_SQL = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_CONTAMINATION_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS l FROM documents),
+  b AS (SELECT item_id, {_WORDS_SQL} AS l FROM benchmark),
+  starts AS (SELECT item_id, l, least(len(l), 10) AS n,
+      unnest(range(1, greatest(len(l) - 9, 1) + 1)) AS i FROM b WHERE len(l) > 0),
+  phrases AS (SELECT DISTINCT item_id, n, array_to_string(l[i:i + n - 1], ' ') AS p FROM starts),
+  sizes AS (SELECT DISTINCT n FROM phrases),
+  places AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM w),
+  grams AS (SELECT doc_id, i, n, array_to_string(l[i:i + n - 1], ' ') AS p
+      FROM places, sizes WHERE i + n - 1 <= len(l)),
+  hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN phrases USING (n, p)),
+  covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j
+      FROM (SELECT DISTINCT doc_id, i, n FROM hits)),
+  n_hits AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+  names AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits),
+  n_names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS ids
+      FROM names GROUP BY doc_id)
+SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_names USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op3_decontamination": op3_decontamination,
         "op5_token_files": op5_token_files,
         "op7_simhash_duplicates": op7_simhash_duplicates,
         "op9_token_counts": op9_token_counts,
@@ -108,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _SHARDS_SQL}
+    return {"op1_sharding": _SHARDS_SQL, "op3_decontamination": _CONTAMINATION_SQL}
