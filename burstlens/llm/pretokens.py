@@ -136,11 +136,8 @@ def _grown(array: np.ndarray, need: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(2 * need - len(array), array.dtype)])
 
 
-class Encoder:
-    """Token ids of whole texts by the tokenizers library, each distinct word once.
-
-    The library's model is asked for a word at a time, without its own cache.
-    """
+class WordStore:
+    """Ids of words that are encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
         # Spark's tasks use the cores already.
@@ -149,13 +146,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            config = json.load(f)
-        model = config["model"]
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
-        self.split = regex.compile(PATTERN).findall
-        self.special = [t["content"].encode() for t in config["added_tokens"]]
-        self.letters = byte_letters()
+            self.config = json.load(f)
+        self.special = [t["content"].encode() for t in self.config["added_tokens"]]
         self._forget()
 
     def _forget(self) -> None:
@@ -173,9 +165,8 @@ class Encoder:
         )
         return [e.ids for e in encoded]
 
-    def _words(self, words: list[bytes]) -> list[list[int]]:
-        tokenize, letters = self.model.tokenize, self.letters
-        return [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
 
     def slots(self, distinct: list[bytes]) -> np.ndarray:
         """Numbers of words in ``first`` and ``length``, which lead to their ids."""
@@ -187,22 +178,18 @@ class Encoder:
             # Hundreds of thousands of short-lived objects, none in a cycle.
             collecting = gc.isenabled()
             gc.disable()
-            found = self._words(missing)
+            ids, lengths = self._words(missing)
             base, need = len(known), len(known) + len(missing)
             known.update(zip(missing, range(base, need), strict=True))
             self.known_bytes += sum(map(len, missing))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
             total = self.used + int(lengths.sum())
             self.first = _grown(self.first, need)
             self.length = _grown(self.length, need)
             self.ids = _grown(self.ids, total)
             self.length[base:need] = lengths
             self.first[base:need] = self.used + np.cumsum(lengths) - lengths
-            self.ids[self.used : total] = np.fromiter(
-                chain.from_iterable(found), np.uint32, total - self.used
-            )
+            self.ids[self.used : total] = ids
             self.used = total
-            del found
             if collecting:
                 gc.enable()
         return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
@@ -227,6 +214,27 @@ class Encoder:
         whole = np.array(sorted(hold), np.int64)
         return whole, np.setdiff1d(wide, whole)
 
+class Encoder(WordStore):
+    """Token ids of whole texts by the tokenizers library, each distinct word once.
+
+    The library's model is asked for a word at a time, without its own cache.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        model = self.config["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.model = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+        self.split = regex.compile(PATTERN).findall
+        self.letters = byte_letters()
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has."""
+        tokenize, letters = self.model.tokenize, self.letters
+        found = [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, lengths.sum()), lengths
+
     def cut(self, block: B.Block):
         """Codes of a block's words, each row's first word, the coded words, rows for the library."""
         kinds = kinds_of(block.data)

@@ -67,6 +67,14 @@ def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.quality import fit_quality, score_quality
+
+    docs = _documents(spark, d).select("doc_id", "text")
+    model = fit_quality(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    return score_quality(docs, model).drop("text")
+
+
 def op7_simhash_duplicates(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.simhash import near_duplicates
 
@@ -76,6 +84,13 @@ def op7_simhash_duplicates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_bpe_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.word_bpe import roundtrip_digests
+
+    docs = _documents(spark, d).select("doc_id", "text")
+    return roundtrip_digests(docs, WORD_BPE).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_counts import count_tokens
 
@@ -144,7 +159,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op3_decontamination": op3_decontamination,
         "op5_token_files": op5_token_files,
+        "op6_quality_rules": op6_quality_rules,
         "op7_simhash_duplicates": op7_simhash_duplicates,
+        "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_token_counts": op9_token_counts,
     }
 
