@@ -154,6 +154,16 @@ SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM w LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_names USING (doc_id)"""
 
 
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.toxicity import fit_toxicity, score_toxicity
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = _documents(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter(~held_out)
+    found = score_toxicity(docs, fit_toxicity(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -163,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash_duplicates": op7_simhash_duplicates,
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_token_counts": op9_token_counts,
+        "op10_toxicity": op10_toxicity,
     }
 
 
