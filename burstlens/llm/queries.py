@@ -44,6 +44,16 @@ def op1_sharding(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.language_id import fit_language, identify_language
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = _documents(spark, d)
+    model = fit_language(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    found = identify_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.decontaminate import find_contamination
 
@@ -167,6 +177,7 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_language_id": op2_language_id,
         "op3_decontamination": op3_decontamination,
         "op5_token_files": op5_token_files,
         "op6_quality_rules": op6_quality_rules,
