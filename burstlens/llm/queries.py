@@ -69,6 +69,24 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.warc import page_number, read_warc, write_warc
+
+    path = fresh(spark, "warc")
+    write_warc(spark.read.parquet(f"{d}/pages.parquet"), path)
+    return (
+        read_warc(spark, path)
+        .filter(F.col("gap").isNull())
+        .select(
+            page_number(F.col("record_id")).alias("page_id"),
+            "payload_bytes",
+            "payload_digest",
+            "record_type",
+            page_number(F.col("refers_to")).alias("refers_to"),
+        )
+    )
+
+
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_files import read_token_files, write_token_files
 
@@ -164,6 +182,16 @@ SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM w LEFT JOIN n_hits USING (doc_id) LEFT JOIN n_names USING (doc_id)"""
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d
+           FROM pages),
+  g AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g USING (d)"""
+
+
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -179,6 +207,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_language_id": op2_language_id,
         "op3_decontamination": op3_decontamination,
+        "op4_warc": op4_warc,
         "op5_token_files": op5_token_files,
         "op6_quality_rules": op6_quality_rules,
         "op7_simhash_duplicates": op7_simhash_duplicates,
@@ -189,4 +218,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": _SHARDS_SQL, "op3_decontamination": _CONTAMINATION_SQL}
+    return {
+        "op1_sharding": _SHARDS_SQL,
+        "op3_decontamination": _CONTAMINATION_SQL,
+        "op4_warc": _WARC_SQL,
+    }
