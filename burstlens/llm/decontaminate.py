@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.fm_index import FMIndex
+from burstlens.llm.places import added
 from burstlens.workers import ship_code
 
 SHARD_BYTES = 4 << 20
@@ -36,8 +37,12 @@ IN_WORD[ord("0") : ord("9") + 1] = True
 IN_WORD[ord("a") : ord("z") + 1] = True
 IN_WORD[0x80:] = True
 
-_FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-NEW = ["n_words", "n_hit", "items", "spans"]
+NEW = {
+    "n_words": "long",
+    "n_hit": "long",
+    "items": "array<string>",
+    "spans": "array<struct<start:bigint,end:bigint>>",
+}
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -170,8 +175,7 @@ def find_contamination(
     size = items.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     n_blocks = int(size // block_words) + 1
     of_block = F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks))
-    plain = docs.select(*(c for c in docs.columns if c not in NEW))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema)
+    plain, schema = added(docs, NEW)
     width = len(plain.columns)
     found = plain
     for k in range(n_blocks):
@@ -184,7 +188,7 @@ def find_contamination(
                 names = [*block.batch.schema.names[:width], *NEW]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        found = found.mapInArrow(search, fields + _FOUND)
+        found = found.mapInArrow(search, schema)
     return found
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
+from burstlens.llm.places import added
 from burstlens.workers import ship_code
 
 DIMENSIONS = 1 << 17
@@ -33,7 +34,7 @@ CALIBRATION = 5
 # Of the learner: step size, its offset, and the penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 SCALE = 30.0
-NEW = ["lang_pred", "score"]
+NEW = {"lang_pred": "string", "score": "double"}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +225,7 @@ def identify_language(docs: DataFrame, model: SimpleNamespace | None, text: str
     there is no model. Columns with the new names are replaced.
     """
     ship_code()
-    plain = docs.select(*(c for c in docs.columns if c not in NEW))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema)
+    plain, schema = added(docs, NEW)
     parts = (model.names, model.table, model.temperature) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -253,4 +253,4 @@ def identify_language(docs: DataFrame, model: SimpleNamespace | None, text: str
             columns = [*block.batch.columns, pa.array(name, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, [*block.batch.schema.names, *NEW])
 
-    return plain.mapInArrow(judge, fields + "lang_pred string, score double")
+    return plain.mapInArrow(judge, schema)

@@ -22,6 +22,17 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
+    """``docs`` without columns of the new names, and the schema with them at the end.
+
+    Names are compared as Spark does, without regard to case.
+    """
+    names = {name.lower() for name in new}
+    plain = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in names))
+    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
+    return plain, ", ".join([*old, *(f"{name} {kind}" for name, kind in new.items())])
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh`` named."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

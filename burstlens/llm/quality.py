@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from burstlens.llm import blocks as B
 from burstlens.llm.boosted_trees import fit, score
 from burstlens.llm.doc_stats import COUNTS, FEATURES, document_stats
+from burstlens.llm.places import added
 from burstlens.workers import ship_code
 
 # Most labelled rows that a model is fitted on.
@@ -22,7 +23,8 @@ TRAIN_ROWS = 20_000
 LEAST_WORDS = 50
 # A document is rejected if more than this percentage of its words is repeated.
 MOST_REPEATED = 50
-NEW = [*COUNTS, "base_failed", "quality_score", "kept"]
+NEW = {c: "long" for c in COUNTS}
+NEW |= {"base_failed": "boolean", "quality_score": "double", "kept": "boolean"}
 
 
 def label_sample(labels: DataFrame, id_column: str, label: str, rows: int) -> DataFrame:
@@ -77,10 +79,8 @@ def score_quality(docs: DataFrame, model, text: str = "text", threshold: float =
     Columns of ``docs`` with the names of new ones are replaced.
     """
     ship_code()
-    plain = docs.select(*(c for c in docs.columns if c not in NEW))
+    plain, schema = added(docs, NEW)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema)
-    fields += "".join(f"{c} long, " for c in COUNTS)
 
     def judge(batches):
         for block in B.blocks(batches, text):
@@ -97,4 +97,4 @@ def score_quality(docs: DataFrame, model, text: str = "text", threshold: float =
             ]
             yield pa.RecordBatch.from_arrays(columns, [*block.batch.schema.names, *NEW])
 
-    return plain.mapInArrow(judge, fields + "base_failed boolean, quality_score double, kept boolean")
+    return plain.mapInArrow(judge, schema)

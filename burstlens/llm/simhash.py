@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.components import components
-from burstlens.llm.places import written
+from burstlens.llm.places import added, written
 from burstlens.workers import ship_code
 
 SEED = 42
@@ -79,18 +79,16 @@ def fingerprints_of(block: B.Block, shingle: int = 3) -> np.ndarray:
 def with_fingerprints(
     docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fingerprint"
 ) -> DataFrame:
-    """``docs`` without its text, with its fingerprint (long)."""
+    """``docs`` with a column of fingerprints (long)."""
     ship_code()
-    kept = docs.select(*(c for c in docs.columns if c not in (text, name)), text)
-    schema = kept.drop(text).schema.add(name, "long")
+    plain, schema = added(docs, {name: "long"})
 
     def fingerprint(batches):
         for block in B.blocks(batches, text):
-            prints = pa.array(fingerprints_of(block, shingle))
-            columns = block.batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*columns, prints], [f.name for f in schema])
+            columns = [*block.batch.columns, pa.array(fingerprints_of(block, shingle))]
+            yield pa.RecordBatch.from_arrays(columns, [*block.batch.schema.names, name])
 
-    return kept.mapInArrow(fingerprint, schema)
+    return plain.mapInArrow(fingerprint, schema)
 
 
 def _mask(positions) -> int:
@@ -256,6 +254,20 @@ def linked_fingerprints(prints: DataFrame, hot_list: int = HOT_LIST) -> DataFram
     return _linked(plain).union(_linked(split))
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """``(fingerprint, root)`` of the distinct values in ``fingerprint``."""
+    distinct = written(prints.select("fingerprint").distinct(), "distinct")
+    roots = components(linked_fingerprints(distinct)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(roots, "fingerprint", "left").withColumn(
+        "root", F.coalesce("root", "fingerprint")
+    )
+
+
+def _rows(docs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
+    return written(with_fingerprints(rows, "text", shingle).drop("text"), "fingerprints")
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3
 ) -> DataFrame:
@@ -267,15 +279,41 @@ def near_duplicates(
     apart. Repeated rows stay, each with its class. Null ids are no one's least id
     unless a class has no other.
     """
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
-    rows = written(with_fingerprints(rows, "text", shingle), "fingerprints")
-    distinct = written(rows.groupBy("fingerprint").agg(F.min("_id").alias("_least")), "distinct")
-    roots = components(linked_fingerprints(distinct)).withColumnRenamed("node", "fingerprint")
-    classed = distinct.join(roots, "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
-    least = classed.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = classed.join(least, "root").select("fingerprint", "component_id")
+    rows = _rows(docs, id_column, text, shingle)
+    least = rows.groupBy("fingerprint").agg(F.min("_id").alias("_least"))
+    classed = written(_classes(rows).join(least, "fingerprint"), "classes")
+    of_class = classed.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = classed.join(of_class, "root").select("fingerprint", "component_id")
     return rows.join(named, "fingerprint").select(
         F.col("_id").alias(id_column), "fingerprint", "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3
+) -> DataFrame:
+    """One row of each class of near duplicates, with all columns of ``docs``.
+
+    The row with the least id stays (a null id only if there is no other); of several with
+    that id, one with the least fingerprint. Null and empty texts are a class of their own.
+    """
+    rows = _rows(docs, id_column, text, shingle)
+    counted = rows.groupBy("_id", "fingerprint").agg(F.count("*").alias("_n"))
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "fingerprint", "_n")
+    first = counted.join(_classes(rows), "fingerprint").groupBy("root")
+    kept = first.agg(F.min(place).alias("k")).select(
+        F.col("k._id").alias("_kept"), F.col("k.fingerprint").alias("_print"), F.col("k._n").alias("_n")
+    )
+    kept = written(kept, "kept")
+    printed = with_fingerprints(docs, text, shingle, "_fingerprint")
+
+    def of(chosen: DataFrame) -> DataFrame:
+        same = F.col(f"`{id_column}`").eqNullSafe(F.col("_kept"))
+        return printed.join(chosen, same & (F.col("_fingerprint") == F.col("_print")), "left_semi")
+
+    result = of(kept.filter("_n = 1"))
+    several = kept.filter("_n > 1")
+    if not several.isEmpty():  # rows of equal id and fingerprint, of which one stays
+        once = of(several).dropDuplicates([id_column, "_fingerprint"])
+        result = result.union(once)
+    return result.drop("_fingerprint")

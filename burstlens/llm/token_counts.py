@@ -1,11 +1,11 @@
 """Token counts of whole texts: frequent words from a broadcast table, others encoded once.
 
-Two tiers, both on the map side. First the corpus's most frequent words (pre-tokens) are counted: every task keeps a bounded
-summary of its own words and hands on its most frequent ones, so what is shuffled
-depends on the number of tasks and not on the text. Their token counts are packed into
-a table of at most ``table_size`` entries, which is broadcast. Then each task cuts
-its texts into words and adds up their counts; a word that is not in the table is
-encoded with the library and remembered by the worker.
+Two tiers, both on the map side. First the most frequent words (pre-tokens) of the corpus
+are found: every task keeps a bounded summary of its own words and hands on its most
+frequent ones, so what is shuffled depends on the number of tasks and not on the text.
+Their token counts are packed into a table of at most ``table_size`` entries, which is
+broadcast. Then each task cuts its texts into words and adds up their counts; a word that
+is not in the table is encoded with the library and remembered by the worker.
 
 The summaries only decide which words are looked up faster: every count is exact.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
+from burstlens.llm.places import added
 from burstlens.llm.pretokens import Encoder, kinds_of, slices, word_offsets
 from burstlens.workers import ship_code
 
@@ -123,9 +124,8 @@ def count_tokens(
     ship_code()
     shared = docs.sparkSession.sparkContext.broadcast(packed)
     key = f"counts_{uuid.uuid4().hex}"
-    new = ["n_bytes", "n_tokens", "over_limit"]
-    kept = docs.select(*(c for c in docs.columns if c not in new))
-    schema = f"{_fields(kept)}n_bytes long, n_tokens long, over_limit boolean"
+    new = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}
+    kept, schema = added(docs, new)
 
     def count(batches):
         tiers = B.worker_cache(key, lambda: _Counts(path, shared.value))
@@ -142,7 +142,3 @@ def count_tokens(
             )
 
     return kept.mapInArrow(count, schema)
-
-
-def _fields(df: DataFrame) -> str:
-    return "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in df.schema)

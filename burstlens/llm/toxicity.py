@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.label_model import fit_label_model, fit_linear
+from burstlens.llm.places import added
 from burstlens.llm.pretokens import slices
 from burstlens.llm.quality import label_sample
 from burstlens.workers import ship_code
@@ -39,7 +40,7 @@ _IN_WORD[ord("a") : ord("z") + 1] = True
 _IN_WORD[0x80:] = True
 _IS_UPPER = np.zeros(256, bool)
 _IS_UPPER[ord("A") : ord("Z") + 1] = True
-NEW = ["score", "predicted"]
+NEW = {"score": "double", "predicted": "int"}
 
 
 def _terms_of(word: str) -> list[str]:
@@ -198,8 +199,7 @@ def score_toxicity(
     that; without a model all scores are 0. Columns with the new names are replaced.
     """
     ship_code()
-    plain = docs.select(*(c for c in docs.columns if c not in NEW))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema)
+    plain, schema = added(docs, NEW)
     parts = (model.terms, model.weights) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -216,4 +216,4 @@ def score_toxicity(
             names = [*block.batch.schema.names, *NEW]
             yield pa.RecordBatch.from_arrays([*block.batch.columns, *columns], names)
 
-    return plain.mapInArrow(judge, fields + "score double, predicted int")
+    return plain.mapInArrow(judge, schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from burstlens.llm import blocks as B
+from burstlens.llm.places import added
 from burstlens.llm.pretokens import (
     KINDS,
     LATIN,
@@ -253,13 +254,6 @@ def _store(path: str | None):
     return lambda: B.worker_cache(key, lambda: WordBPE(path))
 
 
-def _added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
-    """``docs`` without columns of the new names, and the schema with them."""
-    plain = docs.select(*(c for c in docs.columns if c not in new))
-    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
-    return plain, ", ".join([*old, *(f"{c} {t}" for c, t in new.items())])
-
-
 def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array of int), the token ids of each whole text.
 
@@ -267,7 +261,7 @@ def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
     text are special tokens, as is the library's default. A column ``ids`` is replaced.
     """
     store = _store(tokenizer)
-    plain, schema = _added(docs, {"ids": "array<int>"})
+    plain, schema = added(docs, {"ids": "array<int>"})
 
     def encode(batches):
         for block in B.blocks(batches, text):
@@ -284,7 +278,7 @@ def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
 def decode_ids(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (string) to rows with token ids; null ids give an empty string."""
     store = _store(tokenizer)
-    plain, schema = _added(encoded, {"decoded": "string"})
+    plain, schema = added(encoded, {"decoded": "string"})
 
     def decode(batches):
         for batch in batches:
@@ -306,7 +300,7 @@ def roundtrip_digests(
     """
     store = _store(tokenizer)
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    plain, schema = _added(docs, new)
+    plain, schema = added(docs, new)
 
     def digest(batches):
         for block in B.blocks(batches, text):
