@@ -10,7 +10,12 @@ from burstlens.operators.coords import (
 )
 from burstlens.operators.gaps import access_gaps, assign_bursts, prune_sets, set_histogram
 from burstlens.operators.ordinal import with_ordinal
-from burstlens.operators.translate import decode_pagemap, explode_operands, translate
+from burstlens.operators.translate import (
+    decode_pagemap,
+    explode_operands,
+    instruction_fetches,
+    translate,
+)
 from burstlens.plans.detect import (
     detect,
     detect_file,
@@ -20,14 +25,16 @@ from burstlens.plans.detect import (
     representative,
     verdict,
 )
-from burstlens.plans.report import report_lines, write_report
+from burstlens.plans.report import append_report, read_reports, report_lines, write_report
 from burstlens.profiles import PROFILES, CacheProfile, profile_of, profile_table
 from burstlens.sources.binary import read_trace, write_trace
+from burstlens.sources.checkpoints import release_scratch
 
 __all__ = [
     "PROFILES",
     "CacheProfile",
     "access_gaps",
+    "append_report",
     "assign_bursts",
     "burst_stats",
     "decode_pagemap",
@@ -37,6 +44,7 @@ __all__ = [
     "detections",
     "detections_by_set",
     "explode_operands",
+    "instruction_fetches",
     "first_chains",
     "link_bursts",
     "only_reads",
@@ -47,7 +55,9 @@ __all__ = [
     "pruning",
     "qualifying",
     "qualifying_bursts",
+    "read_reports",
     "read_trace",
+    "release_scratch",
     "report_lines",
     "representative",
     "select_kinds",

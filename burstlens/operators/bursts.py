@@ -12,8 +12,9 @@ Chunked plan, for a trace of any size and any skew over sets:
    of their extents with the shuffled rows of step 1 (the exchange is reused) and
    a two-step distinct count, so no tag list is ever held.
 
-With ``chunk=None`` a set is taken whole and step 1 is all there is. That is for
-traces known to be short (see ``plans.detect``).
+Where only qualifying bursts are wanted, the few rows that are left after dropping
+hopeless accesses go behind an exchange of their own: steps 1 and 3 both read that,
+and all rows of the trace are sorted once only.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from burstlens.profiles import FETCH, READ, WRITE, CacheProfile
 
 # Kinds are numbered from FETCH on.
 _KINDS = 3
-# Stands for "no chunks": larger than any record number.
-_ENDLESS = 1 << 62
 # Parts of window expressions.
 _UP_TO_NOW = "rows unbounded preceding"
 _IN_CELL = "over (partition by cell order by rec_idx"
@@ -44,7 +43,9 @@ def _rows(coords: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
     """
     kind = f"(coalesce(rw, {FETCH}) - {FETCH})"
     cell = f"(rec_idx div {chunk}) * {_lanes(profile)} + set_idx * {_KINDS} + {kind}"
-    return coords.filter(f"coalesce(rw, {FETCH}) in ({FETCH}, {WRITE}, {READ})").selectExpr(
+    # Records without a number or an address are in no set, so in no burst.
+    known = coords.filter("rec_idx is not null and set_idx is not null")
+    return known.filter(f"coalesce(rw, {FETCH}) in ({FETCH}, {WRITE}, {READ})").selectExpr(
         f"coalesce({cell}, 0L) as cell", "rec_idx", "tag"
     )
 
@@ -66,6 +67,7 @@ def _dense_rows(rows: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame
     so its (m // 2)-th neighbour on that side is at most m // 2 * (intra - 1) away.
     A neighbour outside the chunk counts as if it sat right at the border. Bursts
     large enough stay whole; what is left of others stays too small to qualify.
+    The result is behind an exchange, which all of its readers share.
     """
     k = max(profile.assoc, 2) // 2
     reach = k * (profile.intra - 1)
@@ -77,16 +79,15 @@ def _dense_rows(rows: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame
             " as after",
         )
         .filter(f"before <= {reach} or after <= {reach}")
-        .select(*rows.columns)
+        # The same number as a new column: Spark would drop an exchange of rows that it
+        # knows to be partitioned so, and then sort all rows once more for every reader.
+        .selectExpr("greatest(cell, cell - 1) as cell", "rec_idx", "tag")
+        .repartition("cell")
     )
 
 
-def _fragments(
-    rows: DataFrame, profile: CacheProfile, chunk: int, only_qualifying: bool
-) -> DataFrame:
+def _fragments(rows: DataFrame, profile: CacheProfile, chunk: int) -> DataFrame:
     """Bursts cut at chunk borders: one row per fragment."""
-    if only_qualifying:
-        rows = _dense_rows(rows, profile, chunk)
     return (
         rows.selectExpr(
             "*",
@@ -156,15 +157,14 @@ def _stitched(
 
 
 def _bursts(
-    coords: DataFrame, profile: CacheProfile, chunk: int | None, only_qualifying: bool
+    coords: DataFrame, profile: CacheProfile, chunk: int, only_qualifying: bool
 ) -> DataFrame:
-    if chunk is not None and chunk < 1:
+    if chunk < 1:
         raise ValueError("chunk must be positive")
-    rows = _rows(coords, profile, chunk or _ENDLESS)
-    frags = _fragments(rows, profile, chunk or _ENDLESS, only_qualifying)
-    if chunk is None:
-        return _as_bursts(frags, "cell", _ENDLESS)
-
+    rows = _rows(coords, profile, chunk)
+    if only_qualifying:
+        rows = _dense_rows(rows, profile, chunk)
+    frags = _fragments(rows, profile, chunk)
     lanes = _lanes(profile)
     stitched = _stitched(frags, profile, chunk, only_qualifying)
     whole = _as_bursts(
@@ -196,7 +196,7 @@ def _bursts(
 
 
 def burst_stats(
-    coords: DataFrame, profile: CacheProfile, chunk: int | None = DEFAULT_CHUNK
+    coords: DataFrame, profile: CacheProfile, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
     """Every burst: distinct lines, centre, accesses and extent.
 
@@ -212,7 +212,7 @@ def qualifying(bursts: DataFrame, profile: CacheProfile) -> DataFrame:
 
 
 def qualifying_bursts(
-    coords: DataFrame, profile: CacheProfile, chunk: int | None = DEFAULT_CHUNK
+    coords: DataFrame, profile: CacheProfile, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
     """``qualifying(burst_stats(...))``, dropping hopeless accesses before aggregating."""
     return qualifying(_bursts(coords, profile, chunk, only_qualifying=True), profile)

@@ -10,6 +10,7 @@ from burstlens.profiles import CacheProfile
 
 _TILE_KEYS = ["rw", "set_idx", "tile"]
 
+
 def first_chains(bursts: DataFrame, inter: int, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Length of the first chain of every set and kind, and where it ends.
 
@@ -85,7 +86,7 @@ def link_bursts(
     bursts: DataFrame,
     profile: CacheProfile,
     all_chains: bool = False,
-    chunk: int | None = DEFAULT_CHUNK,
+    chunk: int = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Bursts that follow another one of their set within ``inter``.
 
@@ -97,29 +98,12 @@ def link_bursts(
         return bursts
     if all_chains:
         near = f"center - prev <= {profile.inter} or next - center <= {profile.inter}"
-        neighbours = _with_neighbours(bursts, chunk or DEFAULT_CHUNK)
+        neighbours = _with_neighbours(bursts, chunk)
         return neighbours.filter(near).select(*bursts.columns)
     return _members(bursts, profile, 2, chunk)
 
 
-def _members_whole(bursts: DataFrame, inter: int, min_len: int) -> DataFrame:
-    """First chains by windows over whole sets, for short traces."""
-    in_set = "over (partition by rw, set_idx order by center"
-    return (
-        bursts.selectExpr("*", f"center - lag(center) {in_set}) > {inter} as far")
-        .selectExpr("*", f"coalesce(max(far) {in_set} rows unbounded preceding), false) as ended")
-        .filter("not ended")
-        .selectExpr("*", "count(*) over (partition by rw, set_idx) as chain_len")
-        .filter(f"chain_len >= {min_len}")
-        .select(*bursts.columns)
-    )
-
-
-def _members(
-    bursts: DataFrame, profile: CacheProfile, min_len: int, chunk: int | None
-) -> DataFrame:
-    if chunk is None:
-        return _members_whole(bursts, profile.inter, min_len)
+def _members(bursts: DataFrame, profile: CacheProfile, min_len: int, chunk: int) -> DataFrame:
     chains = first_chains(bursts, profile.inter, chunk).filter(F.col("chain_len") >= min_len)
     return (
         bursts.join(per_set_table(chains, profile), ["rw", "set_idx"])
@@ -133,7 +117,7 @@ def detections(
     profile: CacheProfile,
     num_pp: int = 1,
     all_chains: bool = False,
-    chunk: int | None = DEFAULT_CHUNK,
+    chunk: int = DEFAULT_CHUNK,
 ) -> DataFrame:
     """Linked bursts of the sets that have more than ``num_pp`` of them."""
     if profile.inter is not None and not all_chains:

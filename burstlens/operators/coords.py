@@ -41,7 +41,8 @@ def with_cache_coords(
     """``(rec_idx, rw, set_idx, tag)`` of every record of ``trace``.
 
     ``rw`` becomes FETCH for profiles without kinds, so that both trace forms
-    share one grouping key.
+    share one grouping key. A record without an address has no set and no tag: it
+    belongs to no burst, and row-level operators pass it on with NULL results.
     """
     kind = F.col("rw") if profile.has_kinds else F.lit(FETCH).cast("long")
     return trace.select(

@@ -25,10 +25,23 @@ def per_set_table(df: DataFrame, profile: CacheProfile) -> DataFrame:
     return F.broadcast(df) if profile.n_sets <= _BROADCAST_SETS else df
 
 
+# A record has a place in a set if its number and its address are known.
+_PLACED = "rec_idx is not null and set_idx is not null"
+
+
+def _with_unplaced(result: DataFrame, coords: DataFrame, name: str) -> DataFrame:
+    """Adds the records without a place, which have no ``name``."""
+    unplaced = coords.filter(f"not ({_PLACED})")
+    kind = F.coalesce("rw", F.lit(-1).cast("long"))
+    return result.unionByName(
+        unplaced.withColumn("rw", kind).withColumn(name, F.lit(None).cast("long"))
+    )
+
+
 def _by_chunk(coords: DataFrame, chunk: int):
     """Rows with their chunk and the gap inside it, and the window used."""
     w = Window.partitionBy(*_CHUNK_KEYS).orderBy("rec_idx")
-    rows = coords.withColumn("rw", F.coalesce("rw", F.lit(-1).cast("long"))).withColumn(
+    rows = coords.filter(_PLACED).withColumn("rw", F.coalesce("rw", F.lit(-1).cast("long"))).withColumn(
         "chunk", F.expr(f"rec_idx div {chunk}")
     )
     return rows.withColumn("gap", F.col("rec_idx") - F.lag("rec_idx").over(w)), w
@@ -47,19 +60,23 @@ def _entry_gaps(rows: DataFrame, *extra) -> DataFrame:
 def access_gaps(coords: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Adds ``gap``: records since the previous access of the same set and kind.
 
-    NULL for the first access of a set.
+    NULL for the first access of a set, and for records without number or address.
     """
     rows, _ = _by_chunk(coords, chunk)
     entries = _entry_gaps(rows).select(*_CHUNK_KEYS, "entry_gap")
-    return rows.join(entries, _CHUNK_KEYS).select(
+    gaps = rows.join(entries, _CHUNK_KEYS).select(
         *coords.columns, F.coalesce("gap", "entry_gap").alias("gap")
     )
+    return _with_unplaced(gaps, coords, "gap")
 
 
 def assign_bursts(
     coords: DataFrame, profile: CacheProfile, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
-    """Adds ``burst_id``: 1, 2, ... inside each set and kind, in trace order."""
+    """Adds ``burst_id``: 1, 2, ... inside each set and kind, in trace order.
+
+    NULL for records without number or address.
+    """
     rows, w = _by_chunk(coords, chunk)
     # Breaks inside a chunk; its first access is judged by the entry gap.
     rows = rows.withColumn(
@@ -77,11 +94,12 @@ def assign_bursts(
         .select(*_CHUNK_KEYS, "entry_id")
     )
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    numbered = (
         rows.withColumn("local", F.sum("brk").over(so_far))
         .join(entries, _CHUNK_KEYS)
         .select(*coords.columns, (F.col("entry_id") + F.col("local")).alias("burst_id"))
     )
+    return _with_unplaced(numbered, coords, "burst_id")
 
 
 def set_histogram(coords: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from burstlens.functions import (
 from burstlens.operators.gaps import DEFAULT_CHUNK
 from burstlens.profiles import READ, WRITE
 
-# Page maps of up to this many entries are broadcast (16 bytes an entry).
-BROADCAST_ENTRIES = 1 << 22
+# Page maps of up to this many entries are broadcast: about 50 MB as a hash table.
+BROADCAST_ENTRIES = 1 << 19
 
 
 def decode_pagemap(pagemap: DataFrame) -> DataFrame:
@@ -51,10 +51,12 @@ def translate(
         decode_pagemap(pagemap).filter("present").select("vpn", "pfn", "swapped")
     )
     rows = trace.withColumn("vpn", page_number("vaddr", page_size))
-    if pages.limit(broadcast_entries + 1).count() <= broadcast_entries:
+    if pages.count() <= broadcast_entries:
         joined = rows.join(F.broadcast(pages), "vpn", "left")
     else:
-        rows = rows.withColumn("chunk", F.expr(f"rec_idx div {chunk}"))
+        # Records without a number are spread over chunks of their own.
+        spread = "-1 - pmod(xxhash64(vaddr), 4096)"
+        rows = rows.withColumn("chunk", F.expr(f"coalesce(rec_idx div {chunk}, {spread})"))
         used = rows.select("chunk", "vpn").distinct().join(pages, "vpn")
         joined = rows.join(used, ["chunk", "vpn"], "left")
     paddr = physical_address("pfn", "vaddr", page_size)
@@ -67,6 +69,11 @@ def translate(
     )
 
 
+def instruction_fetches(instructions: DataFrame) -> DataFrame:
+    """``(instr_id, rw, vaddr)``: one fetch, of its own address, per executed instruction."""
+    return instructions.select("instr_id", F.lit(None).cast("long").alias("rw"), "vaddr")
+
+
 def explode_operands(instructions: DataFrame) -> DataFrame:
     """One access per operand and direction; a read comes before a write.
 

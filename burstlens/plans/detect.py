@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstlens.operators.bursts import qualifying_bursts
@@ -13,32 +11,12 @@ from burstlens.operators.coords import kinds_of, select_kinds, with_cache_coords
 from burstlens.operators.gaps import DEFAULT_CHUNK
 from burstlens.profiles import FETCH, CacheProfile, profile_of
 from burstlens.sources.binary import read_trace
-from burstlens.sources.checkpoints import shared_dir
+from burstlens.sources.checkpoints import scratch_dir
 
 # Kind names in verdicts.
 KIND_NAMES = {1: "READ", 0: "WRITE", FETCH: "FETCH"}
 
 
-PLANS = ("auto", "chunked", "whole")
-
-
-# Bytes of a trace record, roughly, in Spark's size estimates.
-_RECORD_BYTES = 32
-
-
-def fits_one_chunk(trace: DataFrame, chunk: int) -> bool:
-    """Whether every record number is known to be below ``chunk``.
-
-    Spark's size estimate decides whether it is worth asking: large traces, and
-    those of unknown size or from joins, get "no" without a job. For the rest a
-    single counter-example is looked for, with the comparison pushed to the scan.
-    """
-    estimate = trace._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > chunk * _RECORD_BYTES:
-        return False
-    return trace.filter(F.col("rec_idx") >= chunk).isEmpty()
-
-
 def detect(
     trace: DataFrame,
     scope: str | CacheProfile,
@@ -47,7 +25,6 @@ def detect(
     exact_tag: bool = False,
     all_chains: bool = False,
     chunk: int = DEFAULT_CHUNK,
-    plan: str = "auto",
 ) -> DataFrame:
     """Linked bursts ``(rw, set_idx, n_lines, center)`` of every suspicious set.
 
@@ -55,16 +32,11 @@ def detect(
     analyses nothing on data scopes; fetch scopes ignore it and report ``rw`` NULL.
     ``exact_tag`` and ``all_chains`` are additions with a default of off.
 
-    ``plan`` is "chunked" (any size), "whole" (windows over whole sets, one stage;
-    only for short traces) or "auto": whole if the trace is small and no record number
-    reaches ``chunk``, so that no task can ever get more than ``chunk`` rows of one set.
+    Records without a number or an address belong to no burst. ``chunk`` changes the
+    distribution of the work, never the result.
     """
-    if plan not in PLANS:
-        raise ValueError(f"plan must be one of {PLANS}, got {plan!r}")
     profile = profile_of(scope)
     kept = select_kinds(trace, profile, mode)
-    whole = plan == "whole" or (plan == "auto" and fits_one_chunk(trace, chunk))
-    chunk = None if whole else chunk
     coords = with_cache_coords(kept, profile, exact_tag)
     bursts = qualifying_bursts(coords, profile, chunk)
     found = detections(bursts, profile, num_pp, all_chains, chunk)
@@ -116,22 +88,27 @@ def detect_file(
     kind = "data" if profile.has_kinds else "fetch"
     rule = pruning(profile, mode, exact_tag)
     candidates = read_trace(spark, paths, kind, prune=rule)
-    table = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    table = scratch_dir(spark, "candidates")
     candidates.write.parquet(table)
     stored = spark.read.schema(candidates.schema).parquet(table)
     return detect(stored, profile, mode, exact_tag=exact_tag, **options)
 
 
 def detections_by_set(found: DataFrame, span: int = DEFAULT_CHUNK) -> DataFrame:
-    """Detections as one array of ``(center, n_lines)`` per set, in trace order.
+    """Detections as arrays of ``(center, n_lines)`` per set, in trace order.
 
     A set's list is cut into segments of ``span`` record numbers, which bounds the
-    length of each array; short traces have a single segment.
+    length of each array. ``first_pos`` is the number of the set's detections in
+    earlier segments: positions count through, whatever the span.
     """
+    earlier = Window.partitionBy("rw", "set_idx").orderBy("segment")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.size("bursts").cast("long")
     return (
         found.withColumn("segment", F.expr(f"center div {span}"))
         .groupBy("rw", "set_idx", "segment")
         .agg(F.sort_array(F.collect_list(F.struct("center", "n_lines"))).alias("bursts"))
+        .withColumn("first_pos", F.coalesce(F.sum(size).over(earlier), F.lit(0)))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens.operators.coords import kinds_of
@@ -97,3 +97,14 @@ def write_report(lines: DataFrame, path: str, mode: str = "append") -> None:
         .write.mode(mode)
         .text(path)
     )
+
+
+def append_report(lines: DataFrame, path: str, run: int) -> None:
+    """Add a report's lines to the table of reports at ``path``, as those of ``run``."""
+    rows = lines.select(F.lit(run).cast("long").alias("run"), "line_no", "text")
+    rows.coalesce(1).sortWithinPartitions("line_no").write.mode("append").parquet(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, line_no, text)`` of all reports, in order."""
+    return spark.read.parquet(path).orderBy("run", "line_no")

@@ -5,17 +5,19 @@ A data trace is a run of 16-byte records (kind, address), a fetch trace a run of
 no header, so a file splits at any record border and a record's number follows
 from its byte offset: no counting job is needed.
 
-Files are opened through ``pyarrow.fs``, so local paths and the URIs it knows
-(hdfs, s3, gs, ...) work. ``engine="hadoop"`` reads through Hadoop's
-fixed-length input format instead, for any other file system.
+Inputs are listed by Hadoop, so patterns, default file system and schemes are those of
+Spark; workers open them through ``pyarrow.fs`` (local files, hdfs, s3, gs, ...).
+``engine="hadoop"`` reads through Hadoop's fixed-length input format instead, for any
+other file system.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import json
 import os
 import posixpath
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,15 +42,24 @@ WORD_BYTES = 8
 TRACE_SCHEMA = "rec_idx long, rw long, paddr long"
 _ARROW_SCHEMA = pa.schema([("rec_idx", pa.int64()), ("rw", pa.int64()), ("paddr", pa.int64())])
 SPLIT_BYTES = 128 << 20
+# Files that a commit moves at the same time.
+COMMIT_THREADS = 32
 # Records decoded, and pruned, at a time.
 BLOCK = 1 << 20
 
 
+# Hadoop's names of schemes that pyarrow calls otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss"}
+
+
 def _open(path: str):
-    """File system and path inside it for a URI or a local path."""
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), os.path.abspath(path)
+    """File system and path inside it for a full URI or a local path."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem(), os.path.abspath(path)
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def _children(fs, directory: str) -> list:
@@ -57,37 +68,32 @@ def _children(fs, directory: str) -> list:
     return sorted((i for i in shown if i.type == pafs.FileType.File), key=lambda i: i.path)
 
 
-def _list_files(path: str) -> list:
-    """Files of one input: a file, a directory, or a pattern in the last name part."""
-    fs, inner = _open(path)
-    info = fs.get_file_info(inner)
-    if info.type == pafs.FileType.File:
-        found = [info]
-    elif info.type == pafs.FileType.Directory:
-        found = _children(fs, inner)
-    else:
-        parent, pattern = posixpath.split(inner)
-        found = [i for i in _children(fs, parent) if fnmatch.fnmatch(i.base_name, pattern)]
-        if not found:
-            raise FileNotFoundError(f"no trace file at {path}")
-    # A listed path has lost its scheme; give it back for the readers.
-    scheme = path[: path.index("://") + 3] if "://" in path else ""
-    local = scheme in ("", "file://")
-    return [(i.path if local else scheme + i.path, i.size) for i in found]
+def _hadoop_path(spark: SparkSession, path: str):
+    """Hadoop's file system and path of an input, as Spark resolves them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-@dataclass
-class TraceSplit(InputPartition):
-    path: str
-    first_record: int  # inside the file
-    records: int
-    first_idx: int  # over all files
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; without one it is in the default file system."""
+    fs, where = _hadoop_path(spark, path)
+    return fs.makeQualified(where).toString()
 
-    def __init__(self, path: str, first_record: int, records: int, first_idx: int) -> None:
-        self.path = path
-        self.first_record = first_record
-        self.records = records
-        self.first_idx = first_idx
+
+def _list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files of one input, a file, a directory or a pattern, in name order, and their sizes."""
+    fs, where = _hadoop_path(spark, path)
+    found = []
+    for status in fs.globStatus(where) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        shown = [f for f in inside if not f.isDirectory()]
+        if status.isDirectory():
+            shown = [f for f in shown if not f.getPath().getName().startswith(("_", "."))]
+        named = [(f.getPath().toString(), f.getLen()) for f in shown]
+        found += sorted(named)
+    if not found and not fs.globStatus(where):
+        raise FileNotFoundError(f"no trace file at {path}")
+    return found
 
 
 @dataclass
@@ -98,35 +104,37 @@ class FileWritten(WriterCommitMessage):
 
 class TraceReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.paths = json.loads(options["paths"])
+        self.files = json.loads(options["files"])
         self.words = WORDS[options["kind"]]
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.prune = json.loads(options.get("prune", "null"))
 
     def partitions(self):
+        """Splits as plain tuples: path, first record in it, records, first record number."""
         record = self.words * WORD_BYTES
         per_split = max(1, self.split_bytes // record)
         splits, base = [], 0
-        for path, size in (f for p in self.paths for f in _list_files(p)):
+        for path, size in self.files:
             if size % record:
                 raise ValueError(f"{path}: {size} bytes is not a whole number of {record}-byte records")
             count = size // record
             for at in range(0, count, per_split):
-                splits.append(TraceSplit(path, at, min(per_split, count - at), base + at))
+                splits.append(InputPartition((path, at, min(per_split, count - at), base + at)))
             base += count
-        return splits or [TraceSplit("", 0, 0, 0)]
+        return splits or [InputPartition(("", 0, 0, 0))]
 
     def read(self, split):
-        if not split.records:
+        path, first_record, records, first_idx = split.value
+        if not records:
             return
-        fs, inner = _open(split.path)
+        fs, inner = _open(path)
         record = self.words * WORD_BYTES
         with fs.open_input_file(inner) as f:
-            for at in range(0, split.records, BLOCK):
-                count = min(BLOCK, split.records - at)
-                raw = f.read_at(count * record, (split.first_record + at) * record)
+            for at in range(0, records, BLOCK):
+                count = min(BLOCK, records - at)
+                raw = f.read_at(count * record, (first_record + at) * record)
                 block = np.frombuffer(raw, dtype="<u8").reshape(count, self.words)
-                yield from self._batches(block, split.first_idx + at)
+                yield from self._batches(block, first_idx + at)
 
     def _batches(self, block, lo: int):
         hi = lo + len(block)
@@ -178,9 +186,9 @@ class TraceWriter(DataSourceArrowWriter):
 
     def commit(self, messages) -> None:
         fs, _ = _open(self.path)
-        for m in messages:
-            if m is not None:
-                fs.move(m.temporary, m.final)
+        done = [m for m in messages if m is not None]
+        with ThreadPoolExecutor(COMMIT_THREADS) as pool:
+            list(pool.map(lambda m: fs.move(m.temporary, m.final), done))
 
     def abort(self, messages) -> None:
         fs, _ = _open(self.path)
@@ -210,7 +218,8 @@ def _register(spark: SparkSession) -> None:
 
 
 def _as_list(paths) -> list[str]:
-    return paths.split(",") if isinstance(paths, str) else list(paths)
+    """Inputs of a comma-separated list; commas in braces belong to a pattern."""
+    return re.split(r",(?![^{]*})", paths) if isinstance(paths, str) else list(paths)
 
 
 def read_trace(
@@ -223,7 +232,7 @@ def read_trace(
 ) -> DataFrame:
     """``(rec_idx, rw, paddr)`` of a binary trace; ``rw`` is NULL for fetches.
 
-    ``paths``: files, directories or patterns, as a list or comma-separated;
+    ``paths``: files, directories or patterns of any part, as a list or comma-separated;
     records are numbered through in that order. A file with a partial last record
     is an error. ``prune`` comes from ``plans.detect.pruning``: records that cannot matter
     to one given analysis are left out while decoding (numbers stay the same).
@@ -235,9 +244,10 @@ def read_trace(
     if engine != "arrow":
         raise ValueError(f"engine must be 'arrow' or 'hadoop', got {engine!r}")
     _register(spark)
+    files = [f for p in _as_list(paths) for f in _list_files(spark, p)]
     return (
         spark.read.format(FORMAT)
-        .option("paths", json.dumps(_as_list(paths)))
+        .option("files", json.dumps(files))
         .option("kind", kind)
         .option("splitbytes", str(split_bytes))
         .option("prune", json.dumps(prune))
@@ -280,6 +290,7 @@ def write_trace(
     """
     if kind not in WORDS:
         raise ValueError(f"kind must be one of {sorted(WORDS)}, got {kind!r}")
+    path = _qualified(trace.sparkSession, path)
     fs, root = _open(path)
     if fs.get_file_info(root).type == pafs.FileType.File or _children(fs, root):
         raise FileExistsError(f"{path} is not empty")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlens.operators.ordinal import with_ordinal
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,16 +38,12 @@ def orders_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_pagemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page map with absent and swapped pages; every 37th page has no entry."""
-    return (
-        _table(spark, sf_dir, "part")
-        .filter("p_partkey % 37 <> 36")
-        .selectExpr(
-            "p_partkey as vpn",
-            """(p_partkey * 7919) % 1048576
-               | if(p_size % 25 = 0, 4611686018427387904, 0)
-               | if(p_size % 10 <> 0, -9223372036854775808, 0) as entry""",
-        )
+    """A page map with absent and swapped pages; every 37th entry is for a far page."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey + if(p_partkey % 37 = 36, 1099511627776, 0) as vpn",
+        """(p_partkey * 7919) % 1048576
+           | if(p_size % 25 = 0, 4611686018427387904, 0)
+           | if(p_size % 10 <> 0, -9223372036854775808, 0) as entry""",
     )
 
 
@@ -58,10 +56,32 @@ def lineitem_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineitem_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A numbered trace with bursts in sets all over a large cache, and broken chains.
+
+    Blocks of 256 records have bursts of 32 in two sets, in turns, and come back to their
+    sets 97 blocks later. Every fifth block has too few lines in its second half, every
+    seventh has addresses beyond 2^63, and every eleventh has kinds that are not
+    analysed; every 1000th record has no address.
+    """
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    numbered = with_ordinal(rows, ["l_orderkey", "l_linenumber"])
+    return numbered.selectExpr("rec_idx", "rec_idx div 256 as b").selectExpr(
+        "rec_idx",
+        "if(b % 11 = 10, 2, b % 2) as rw",
+        """if(rec_idx % 1000 = 999, null,
+              if(b % 7 = 6, -9223372036854775808, 0)
+              | ((rec_idx % if(b % 5 = 4 and rec_idx div 128 % 2 = 1, 8, 32)) * 131072
+                 + (b % 97 * 21 + b div 388 * 7 + rec_idx div 32 % 2 * 1024) % 2048 * 64))
+           as paddr""",
+    )
+
+
 def part_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instructions with two memory operands each."""
+    """Instructions with an address of their own and two memory operands each."""
     return _table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("instr_id"),
+        F.expr("p_partkey * 4096 + p_size * 4").alias("vaddr"),
         F.expr(
             """array(
                  named_struct('vaddr', p_partkey * 4096,
@@ -70,3 +90,15 @@ def part_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
                               'is_read', p_size % 5 <> 0, 'is_written', p_size % 7 = 0))"""
         ).alias("operands"),
     )
+
+
+def lineitem_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One instruction per lineitem row; those of four orders read the same cache set."""
+    return _table(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey * 8 + l_linenumber").alias("instr_id"),
+        F.expr("l_suppkey * 4096 + l_linenumber * 4").alias("vaddr"),
+        F.expr(
+            """array(named_struct('vaddr', l_partkey * 4096 + l_orderkey div 4 % 64 * 64,
+                                  'is_read', true, 'is_written', l_linenumber = 7))"""
+        ).alias("operands"),
+    )

@@ -1,11 +1,24 @@
 """Binary traces: numbering, splitting, pruning, writing."""
 
+import glob
+import json
 import random
 import struct
 
 import pytest
-
-from burstlens import PROFILES, detect, detect_file, pruning, read_trace, write_trace
+from pyspark import cloudpickle
+
+from burstlens import (
+    PROFILES,
+    detect,
+    detect_file,
+    pruning,
+    read_trace,
+    release_scratch,
+    write_trace,
+)
+from burstlens.sources.binary import TraceReader
+from burstlens.sources.checkpoints import shared_dir
 from tests.helpers import access, burst, keyed, table
 from tests.test_properties import LOOSE, TIGHT
 
@@ -44,6 +57,33 @@ def test_several_files_are_numbered_through(spark, tmp_path):
     assert read_trace(spark, paths, split_bytes=160).rdd.getNumPartitions() == 16
 
 
+def test_patterns_in_any_part_of_a_path(spark, tmp_path):
+    a, b = records(1, 20), records(2, 30)
+    for name, recs in (("x", a), ("y", b), ("z", a)):
+        (tmp_path / name).mkdir()
+        dump(tmp_path / name / "t.bin", recs)
+    want = [(i, *r) for i, r in enumerate(a + b)]
+    assert rows_of(read_trace(spark, f"{tmp_path}/{{x,y}}/t.bin")) == want
+    assert rows_of(read_trace(spark, f"{tmp_path}/[xy]/*")) == want
+    assert read_trace(spark, f"{tmp_path}/*/t.bin").count() == 70
+
+
+def test_splits_are_small(spark):
+    files = [["hdfs://host:8020/a/rather/long/path/to/a/trace/part-00000000.bin", 16 << 20]]
+    options = {"files": json.dumps(files), "kind": "data", "splitbytes": "1048576"}
+    splits = TraceReader(options).partitions()
+    assert len(splits) == 16 and len(cloudpickle.dumps(splits[0])) < 300
+
+
+def test_detect_file_leaves_nothing_behind(spark, tmp_path):
+    path = dump(tmp_path / "t.bin", records(9, 200))
+    detect_file(spark, path, "L1D", "READ").collect()
+    folder = shared_dir(spark).removeprefix("file:")
+    assert glob.glob(f"{folder}/candidates-*")
+    release_scratch(spark)
+    assert not glob.glob(f"{folder}/candidates-*")
+
+
 def test_fetches_have_no_kind(spark, tmp_path):
     path = dump(tmp_path / "f.bin", records(3, 40), "fetch")
     got = read_trace(spark, path, "fetch")
@@ -127,7 +167,7 @@ def test_detect_file_equals_detect(spark, tmp_path):
     path = dump(tmp_path / "t.bin", [r[1:] for r in rows])
     want = [(1, 5, 8, 103), (1, 5, 8, 903), (1, 5, 8, 2903)]
     assert keyed(detect_file(spark, path, "L1D", "READ")) == want
-    assert keyed(detect_file(spark, path, "L1D", "READ", plan="chunked", chunk=105)) == want
+    assert keyed(detect_file(spark, path, "L1D", "READ", chunk=105)) == want
     fetch = dump(tmp_path / "f.bin", [r[1:] for r in rows], "fetch")
     fetched = detect_file(spark, fetch, PROFILES["L1I"])
     assert {r.rw for r in fetched.collect()} == {None}

@@ -54,12 +54,12 @@ def test_bursts_and_detections_equal_the_walk(spark, name, profile):
     trace = table(spark, rows, partitions=3).cache()
     bursts, found = walk(rows, profile, (0, 1))
     coords = with_cache_coords(trace, profile)
-    for chunk in (None, 17, 1):
+    for chunk in (1 << 20, 17, 1):
         got = burst_stats(coords, profile, chunk)
         columns = ("rw", "set_idx", "n_lines", "center", "n_access", "first_idx", "last_idx")
         assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == bursts, chunk
     want = [(None if k == -1 else k, *rest) for k, *rest in found]
-    for options in (dict(plan="whole"), dict(chunk=29), dict(chunk=3)):
+    for options in (dict(), dict(chunk=29), dict(chunk=3)):
         got = detect(trace, profile, "BOTH", **options)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), options
 
@@ -68,7 +68,7 @@ def test_bursts_and_detections_equal_the_walk(spark, name, profile):
 def test_all_chains_equal_the_walk(spark, name):
     rows = TRACES[name]
     _, found = walk(rows, LOOSE, (0, 1), all_chains=True)
-    for options in (dict(plan="whole"), dict(chunk=50)):
+    for options in (dict(), dict(chunk=50)):
         got = detect(table(spark, rows), LOOSE, "BOTH", all_chains=True, **options)
         assert keyed(got) == found
 
@@ -82,7 +82,7 @@ def test_dropping_hopeless_rows_changes_no_qualifying_burst(spark):
 
 def test_result_does_not_depend_on_partitions_or_input_order(spark):
     rows = random_trace(11)
-    want = keyed(detect(table(spark, rows), TIGHT, "BOTH", plan="whole"))
+    want = keyed(detect(table(spark, rows), TIGHT, "BOTH"))
     assert want
     random.Random(1).shuffle(rows)
     for parts, chunk in ((1, 40), (64, 40), (8, 1 << 20)):
@@ -117,7 +117,7 @@ def test_pruning_sets_keeps_detections(spark):
 def test_linking_before_and_after_the_set_filter_agree(spark):
     coords = with_cache_coords(table(spark, random_trace(3)), TIGHT)
     bursts = qualifying_bursts(coords, TIGHT)
-    for chunk in (None, 30):
+    for chunk in (1 << 20, 30):
         assert keyed(link_bursts(bursts, TIGHT, chunk=chunk)) == keyed(
             detect(table(spark, random_trace(3)), TIGHT, "BOTH")
         )
@@ -135,6 +135,61 @@ def test_arrays_per_set_hold_the_same_bursts(spark):
         assert all(list(r.bursts) == sorted(r.bursts) for r in nested)
 
 
+def test_positions_count_through_whatever_the_span(spark):
+    found = detect(table(spark, random_trace(11)), TIGHT, "BOTH", all_chains=True)
+    want = {}
+    for rw, s, n, c in sorted(keyed(found), key=lambda x: (x[0], x[1], x[3])):
+        want[rw, s, c] = sum(k[:2] == (rw, s) for k in want)
+    for span in (1 << 20, 2000, 64, 7):
+        got = {
+            (r.rw, r.set_idx, b.center): r.first_pos + i
+            for r in detections_by_set(found, span).collect()
+            for i, b in enumerate(r.bursts)
+        }
+        assert got == want, span
+
+
+def test_records_without_address_or_number_are_in_no_burst(spark):
+    # A fetch trace with a hole in each burst finds nothing; filling the holes with
+    # records that have no address must not change that.
+    holes = {4, 104}
+    rows = [(t, None, access(0, 1 + t % 100)) for t0 in (0, 100) for t in range(t0, t0 + 8)]
+    kept = [r for r in rows if r[0] not in holes]
+    filled = kept + [(t, None, None) for t in holes] + [(None, None, access(0, 5))]
+    assert detect(table(spark, kept), "L1I").count() == 0
+    trace = table(spark, filled)
+    assert detect(trace, "L1I").count() == 0
+    coords = with_cache_coords(trace, PROFILES["L1I"])
+    assert burst_stats(coords, PROFILES["L1I"]).agg({"n_access": "sum"}).first()[0] == len(kept)
+    for result, name in (
+        (access_gaps(coords), "gap"),
+        (assign_bursts(coords, PROFILES["L1I"]), "burst_id"),
+    ):
+        got = result.collect()
+        assert len(got) == len(filled)
+        unplaced = [r for r in got if r.rec_idx is None or r.set_idx is None]
+        assert len(unplaced) == 3 and all(r[name] is None for r in unplaced)
+
+
+def test_chunks_change_nothing_under_adaptive_execution(spark):
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.codegen.wholeStage": "true",
+        "spark.sql.codegen.factoryMode": "FALLBACK",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = TRACES["hot"]
+        _, found = walk(rows, LOOSE, (0, 1))
+        for chunk in (1 << 20, 29):
+            assert keyed(detect(table(spark, rows), LOOSE, "BOTH", chunk=chunk)) == found
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_uniform_noise_is_not_detected(spark):
     r = random.Random(0)
     rows = [(t, 1, r.randrange(1 << 34)) for t in range(20_000)]

@@ -12,12 +12,11 @@ from burstlens import (
 )
 from tests.helpers import READ, WRITE, access, burst, keyed, table, triples
 
-PLANS = [dict(plan="whole"), dict(plan="chunked", chunk=5)]
+PLANS = [dict(), dict(chunk=5)]
 L1 = PROFILES["L1D"]
 
 
-def l1(spark, rows, mode="READ", scope="L1D", plan="whole", **options):
-    options["plan"] = plan
+def l1(spark, rows, mode="READ", scope="L1D", **options):
     return triples(detect(table(spark, rows), scope, mode, **options))
 
 
@@ -145,7 +144,7 @@ def test_num_pp_raises_the_needed_number(spark, plan):
 
 def test_unknown_settings_are_refused(spark):
     trace = table(spark, burst(0))
-    for bad in (dict(mode="ALL"), dict(mode="READ", plan="fast")):
+    for bad in (dict(mode="ALL"), dict(mode="READ", chunk=0)):
         with pytest.raises(ValueError):
             detect(trace, "L1D", **bad)
     with pytest.raises(ValueError):

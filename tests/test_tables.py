@@ -1,12 +1,14 @@
 """Record numbers, address translation, operands, reports and plans."""
 
 import io
+import re
 from contextlib import redirect_stdout
 
 import pytest
 
 from burstlens import (
     PROFILES,
+    append_report,
     burst_stats,
     decode_pagemap,
     detect,
@@ -14,6 +16,7 @@ from burstlens import (
     detected_sets,
     explode_operands,
     profile_table,
+    read_reports,
     report_lines,
     representative,
     translate,
@@ -22,7 +25,6 @@ from burstlens import (
     with_ordinal,
     write_report,
 )
-from burstlens.plans.detect import fits_one_chunk
 from burstlens.sources.tables import events_trace
 from tests.helpers import WRITE, burst, table
 
@@ -109,6 +111,7 @@ def test_result_shapes(spark):
     ]
 
 
+# The text of a report.
 REPORT = """BOTH, L1D
 
 Cache parameters (assoc, intra_group_threshold, line_bits, set_mask, set_bits, \
@@ -168,39 +171,54 @@ def _plan(df, final=False):
 SF = "/root/testdata/sf0.001"
 
 
-def test_short_traces_are_shuffled_once(spark):
-    plan = _plan(detect(events_trace(spark, SF), "L1D", "BOTH", plan="whole"))
-    # The rows by cell, then only the qualifying bursts by set.
-    assert plan.count("Exchange") == 2
-    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in plan
-
-
-def test_long_traces_share_one_shuffle_of_the_rows(spark):
-    # As on tables too large to broadcast.
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_one_scan_and_one_sort_of_all_rows(spark):
+    # Under adaptive execution, as on tables too large to broadcast.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        found = detect(events_trace(spark, SF), "L1D", "BOTH", plan="chunked", chunk=97)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = detect(events_trace(spark, SF), "L1D", "BOTH", chunk=97)
         plan = _plan(found, final=True).split("== Initial Plan ==")[0]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert plan.count("FileScan parquet") == 1
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in plan
+    # Only the rows that are left go behind the exchange that several readers share.
+    dense = re.findall(r"^.* Exchange hashpartitioning\(cell#\d+L.*REPARTITION_BY_COL.*$", plan, re.M)
+    assert sum("ReusedExchange" not in line for line in dense) == 1
     assert "ReusedExchange" in plan
+    # The window with the widest lag is the one over all rows.
+    assert len(re.findall(r"Window \[lag\(rec_idx#\d+L, -4", plan)) == 1
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_the_plan_follows_the_size(spark):
-    trace = events_trace(spark, SF)
-    assert fits_one_chunk(trace, 1 << 20)
-    assert not fits_one_chunk(trace, 999)
-    # 1000 records of unknown size, and the product that a join may be.
-    assert not fits_one_chunk(spark.createDataFrame(trace.rdd, trace.schema), 1 << 20)
-    assert not fits_one_chunk(trace.join(trace.select("rec_idx"), "rec_idx"), 2000)
-
-
 def test_bursts_are_aggregated_in_the_stage_of_the_shuffle(spark):
     p = PROFILES["LLC"]
-    plan = _plan(burst_stats(with_cache_coords(events_trace(spark, SF), p), p, chunk=None))
-    assert plan.count("Exchange") == 1
+    plan = _plan(burst_stats(with_cache_coords(events_trace(spark, SF), p), p))
+    assert "hashpartitioning(cell" in plan and "hashpartitioning(cell#, first" not in re.sub(
+        r"#\d+L?", "#", plan
+    )
+
+
+def test_reports_are_read_back_in_order(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    found = detect(_mixed(spark), "L1D", "BOTH")
+    append_report(report_lines(found, "L1D", "BOTH"), path, 1)
+    append_report(report_lines(found.limit(0), "L1D", "BOTH"), path, 2)
+    rows = read_reports(spark, path).collect()
+    assert "\n".join(r.text for r in rows if r.run == 1) + "\n" == REPORT
+    assert [r.run for r in rows] == sorted(r.run for r in rows)
+    assert [r.line_no for r in rows if r.run == 2] == list(range(sum(r.run == 2 for r in rows)))
+
+
+@pytest.mark.parametrize("limit", [0, 100])
+def test_translation_of_records_without_a_number(spark, limit):
+    pagemap = spark.createDataFrame([(1, PRESENT + 5)], "vpn long, entry long")
+    trace = spark.createDataFrame([(None, 1, 4096)], "rec_idx long, rw long, vaddr long")
+    got = translate(trace, pagemap, broadcast_entries=limit).collect()
+    assert [r.paddr for r in got] == [5 * 4096]
 
 
 def test_detect_file_decodes_once(spark, tmp_path):
