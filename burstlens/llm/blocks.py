@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Text bytes handled at a time. A longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: The ASCII white space characters.
 WHITE = b"\t\n\x0b\x0c\r "
@@ -130,12 +130,15 @@ def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def worker_cache(name: str, make):
+def worker_cache(name: str, version, make):
     """An object that lives as long as the Python worker, shared by its tasks.
 
-    Code is sent by value, so its own module level does not outlive a task.
+    There is one of each name; another version replaces it, so workers that serve many
+    queries don't gather the objects of all of them. Code is sent by value, so its own
+    module level would not outlive a task.
     """
     home = sys.modules.setdefault("_burstlens_worker", types.ModuleType("_burstlens_worker"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, name, (None, None))[0] != version:
+        setattr(home, name, (None, None))  # let go of the old one first
+        setattr(home, name, (version, make()))
+    return getattr(home, name)[1]

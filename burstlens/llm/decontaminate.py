@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.fm_index import FMIndex
-from burstlens.llm.places import added
-from burstlens.workers import ship_code
+from burstlens.llm.places import added, prepare
 
 SHARD_BYTES = 4 << 20
 INDEX_WORDS = 2_000_000
@@ -165,7 +164,7 @@ def find_contamination(
     of equal ids are one item. Columns of ``docs`` with the names of new ones are
     replaced.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"),
@@ -194,7 +193,7 @@ def find_contamination(
 
 def without_spans(found: DataFrame, text: str = "text") -> DataFrame:
     """Cuts ``spans`` (byte offsets, ascending) out of the text of each row."""
-    ship_code()
+    prepare(found.sparkSession)
     schema = found.schema
 
     def cut(batches):

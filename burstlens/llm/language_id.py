@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
-from burstlens.llm.places import added
-from burstlens.workers import ship_code
+from burstlens.llm.places import added, prepare
 
 DIMENSIONS = 1 << 17
 SIZES = (1, 2, 3)
@@ -61,7 +60,7 @@ def _code_points(block: B.Block) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(block: B.Block):
     """Buckets of n-grams, a pair ``(buckets, first)`` for each size; rows with letters."""
-    lower, letter = B.worker_cache("language_tables", _tables)
+    lower, letter = B.worker_cache("language_tables", 1, _tables)
     points, first = _code_points(block)
     small = points < 1 << 16
     at = np.where(small, points, 0)
@@ -93,7 +92,7 @@ def _row_buckets(block: B.Block):
 
 def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
     """Number of documents and, per bucket, of documents with an n-gram in it."""
-    ship_code()
+    prepare(docs.sparkSession)
 
     def count(batches):
         seen, rows = np.zeros(DIMENSIONS, np.int64), 0
@@ -165,7 +164,7 @@ def fit_language(
 
     The id only chooses and orders the sample. None if there is nothing to learn from.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     known = known.select(
         F.xxhash64(F.lit("language"), F.col(id_column).cast("string")).alias("_key"),
@@ -224,7 +223,7 @@ def identify_language(docs: DataFrame, model: SimpleNamespace | None, text: str
     Only the text is looked at. ``und`` with score 0 if it is null or has no letter, or if
     there is no model. Columns with the new names are replaced.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     plain, schema = added(docs, NEW)
     parts = (model.names, model.table, model.temperature) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)

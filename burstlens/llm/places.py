@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from burstlens.sources.checkpoints import shared_dir
-
-
-def fresh(spark: SparkSession, kind: str) -> str:
-    """A new folder name under the shared folder of the cluster."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+from burstlens.sources.checkpoints import scratch_dir
+from burstlens.workers import ship_code
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder, which outlives executors."""
     spark = df.sparkSession
-    path = fresh(spark, kind)
+    path = scratch_dir(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Bytes of rows that Spark hands to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send this package's code along, and bound what a worker gets at a time.
+
+    The bound is a setting of the session; a lower one is left as it is.
+    """
+    ship_code()
+    now = spark.conf.get(_BATCH_SETTING, "64m").lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = int(now[:-1]) * units[now[-1]] if now[-1:] in units else int(now)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
     """``docs`` without columns of the new names, and the schema with them at the end.
 
@@ -31,9 +43,3 @@ def added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
     plain = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in names))
     old = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
     return plain, ", ".join([*old, *(f"{name} {kind}" for name, kind in new.items())])
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``fresh`` named."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -24,8 +24,8 @@ from burstlens.llm import blocks as B
 
 # Words, and bytes of words, that a Python worker remembers. With more it starts
 # anew, so its memory stays bounded; results don't depend on it.
-CACHE_WORDS = 1_000_000
-CACHE_BYTES = 32 << 20
+CACHE_WORDS = 500_000
+CACHE_BYTES = 16 << 20
 
 #: Fixed value: how byte-level vocabularies of this kind split a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

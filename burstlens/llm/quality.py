@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from burstlens.llm import blocks as B
 from burstlens.llm.boosted_trees import fit, score
 from burstlens.llm.doc_stats import COUNTS, FEATURES, document_stats
-from burstlens.llm.places import added
-from burstlens.workers import ship_code
+from burstlens.llm.places import added, prepare
 
 # Most labelled rows that a model is fitted on.
 TRAIN_ROWS = 20_000
@@ -48,7 +47,7 @@ def fit_quality(
 
     None if the sample doesn't have both labels.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     sample = label_sample(labels, id_column, label, train_rows)
     named = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
     rows = named.join(F.broadcast(sample), "_id").select("_label", "text")
@@ -78,7 +77,7 @@ def score_quality(docs: DataFrame, model, text: str = "text", threshold: float =
     without a model the score is 1. A null or empty text has no words and so fails.
     Columns of ``docs`` with the names of new ones are replaced.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     plain, schema = added(docs, NEW)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

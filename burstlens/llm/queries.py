@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlens.llm.places import fresh
+from burstlens.sources.checkpoints import scratch_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,7 +72,7 @@ def op3_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op4_warc(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.warc import page_number, read_warc, write_warc
 
-    path = fresh(spark, "warc")
+    path = scratch_dir(spark, "warc")
     write_warc(spark.read.parquet(f"{d}/pages.parquet"), path)
     return (
         read_warc(spark, path)
@@ -90,7 +90,7 @@ def op4_warc(spark: SparkSession, d: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
     from burstlens.llm.token_files import read_token_files, write_token_files
 
-    path = fresh(spark, "tokens")
+    path = scratch_dir(spark, "tokens")
     write_token_files(_documents(spark, d), path, BYTE_BPE, end_id=0)
     return read_token_files(spark, path)
 

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.components import components
-from burstlens.llm.places import added, written
-from burstlens.workers import ship_code
+from burstlens.llm.places import added, prepare, written
 
 SEED = 42
 MAX_BITS = 3
@@ -80,7 +79,7 @@ def with_fingerprints(
     docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "fingerprint"
 ) -> DataFrame:
     """``docs`` with a column of fingerprints (long)."""
-    ship_code()
+    prepare(docs.sparkSession)
     plain, schema = added(docs, {name: "long"})
 
     def fingerprint(batches):
@@ -186,7 +185,7 @@ def links_in_lists(kind: np.ndarray, key: np.ndarray, prints: np.ndarray):
 
 def _linked(postings: DataFrame) -> DataFrame:
     """Spanning links ``(a, b)`` of all posting lists ``(kind, key, fingerprint)``."""
-    ship_code()
+    prepare(postings.sparkSession)
 
     def search(batches):
         held: list[pa.RecordBatch] = []

@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
-from burstlens.llm.places import added
+from burstlens.llm.places import added, prepare
 from burstlens.llm.pretokens import Encoder, kinds_of, slices, word_offsets
-from burstlens.workers import ship_code
 
 # Bounds of a task's summary, of what it hands on, and of the broadcast table.
 SUMMARY = 200_000
@@ -40,7 +39,7 @@ def frequent_words(docs: DataFrame, text: str = "text", size: int = TABLE_SIZE)
     A task whose summary is full halves it (all counts lose the median count), and
     words that a block has once are not counted: counts are lower bounds.
     """
-    ship_code()
+    prepare(docs.sparkSession)
 
     def summarise(batches):
         seen: Counter = Counter()
@@ -121,14 +120,14 @@ def count_tokens(
         np.fromiter(map(len, frequent), np.int64, len(frequent)),
         np.asarray(counts, np.uint16),
     )
-    ship_code()
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
-    key = f"counts_{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
     new = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}
     kept, schema = added(docs, new)
 
     def count(batches):
-        tiers = B.worker_cache(key, lambda: _Counts(path, shared.value))
+        tiers = B.worker_cache("token_counts", key, lambda: _Counts(path, shared.value))
         for block in B.blocks(batches, text):
             n = tiers.of_rows(block)
             yield pa.RecordBatch.from_arrays(

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
+from burstlens.llm.places import prepare
 from burstlens.llm.pretokens import Encoder
-from burstlens.workers import ship_code
 
 MANIFEST = "part long, name string, n_docs long, n_ids long, width int"
 
@@ -60,8 +60,7 @@ def write_token_files(
     """
     spark = docs.sparkSession
     vocabulary = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    ship_code()
-    key = f"encoder_{uuid.uuid4().hex}"
+    prepare(docs.sparkSession)
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def write(batches):
@@ -69,7 +68,7 @@ def write_token_files(
 
         task = TaskContext.get()
         part = task.partitionId()
-        encoder = B.worker_cache(key, lambda: Encoder(vocabulary))
+        encoder = B.worker_cache("encoder", vocabulary, lambda: Encoder(vocabulary))
         fs, root = opened(path)
         fs.create_dir(root, recursive=True)
         name = f"part-{part:08d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
@@ -77,7 +76,7 @@ def write_token_files(
         with fs.open_output_stream(f"{root}/{name}.bin") as out:
             for block in B.blocks(batches, text):
                 ids, first = encoder.ids_of(block)
-                if len(ids) and int(ids.max()) >= 1 << (8 * width):
+                if max(end_id, int(ids.max(initial=0))) >= 1 << (8 * width):
                     raise ValueError(f"an id does not fit {width} bytes")
                 out.write(np.insert(ids, first[1:], end_id).astype(kind).tobytes())
                 sizes.append(np.diff(first) + 1)
@@ -123,7 +122,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     ``ids_crc32`` is the unsigned CRC-32 of the ids, end id included, as little-endian
     unsigned 32-bit integers; ``with_ids`` adds ``ids`` (array of long).
     """
-    ship_code()
+    prepare(spark)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     schema += ", ids array<long>" if with_ids else ""
 

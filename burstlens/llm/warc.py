@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlens.llm.token_files import opened
-from burstlens.workers import ship_code
+from burstlens.llm.places import prepare
 
 LEAST_SHARED = 100
 # Files are closed at about this many bytes.
@@ -121,7 +121,7 @@ def write_warc(
     same id and payload are a response each. Tasks write files of their own, and only those
     in ``manifest/`` count, so retries leave no double records.
     """
-    ship_code()
+    prepare(pages.sparkSession)
     pack = member if compressed else bytes
     suffix = "warc.gz" if compressed else "warc"
 
@@ -310,7 +310,7 @@ def read_warc(
     A row with ``gap`` null is a record; otherwise ``gap`` says why the bytes from ``start`` to
     ``end`` could not be read. ``names`` (column ``name``) replaces the manifest.
     """
-    ship_code()
+    prepare(spark)
 
     def read(batches):
         fs, root = opened(path)

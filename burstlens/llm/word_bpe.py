@@ -15,7 +15,6 @@ library; rows with a special string are encoded by it whole.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from burstlens.llm import blocks as B
-from burstlens.llm.places import added
+from burstlens.llm.places import added, prepare
 from burstlens.llm.pretokens import (
     KINDS,
     LATIN,
@@ -36,7 +35,6 @@ from burstlens.llm.pretokens import (
     kinds_of,
     slices,
 )
-from burstlens.workers import ship_code
 
 # Longer words are merged one at a time.
 SHORT_WORD = 64
@@ -249,9 +247,7 @@ class WordBPE(WordStore):
 
 def _store(path: str | None):
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    key = f"bpe_{uuid.uuid4().hex}"
-    ship_code()
-    return lambda: B.worker_cache(key, lambda: WordBPE(path))
+    return lambda: B.worker_cache("word_bpe", path, lambda: WordBPE(path))
 
 
 def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "text") -> DataFrame:
@@ -261,6 +257,7 @@ def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
     text are special tokens, as is the library's default. A column ``ids`` is replaced.
     """
     store = _store(tokenizer)
+    prepare(docs.sparkSession)
     plain, schema = added(docs, {"ids": "array<int>"})
 
     def encode(batches):
@@ -278,6 +275,7 @@ def encode_texts(docs: DataFrame, tokenizer: str | None = None, text: str = "tex
 def decode_ids(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids") -> DataFrame:
     """Adds ``decoded`` (string) to rows with token ids; null ids give an empty string."""
     store = _store(tokenizer)
+    prepare(encoded.sparkSession)
     plain, schema = added(encoded, {"decoded": "string"})
 
     def decode(batches):
@@ -299,6 +297,7 @@ def roundtrip_digests(
     ``decoded_sha256``, of the decoded text in UTF-8. Columns of these names are replaced.
     """
     store = _store(tokenizer)
+    prepare(docs.sparkSession)
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     plain, schema = added(docs, new)
 
