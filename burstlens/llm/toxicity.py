@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
 from burstlens.llm.label_model import fit_label_model, fit_linear
-from burstlens.llm.places import added
+from burstlens.llm.places import added, prepare
 from burstlens.llm.pretokens import slices
 from burstlens.llm.quality import label_sample
-from burstlens.workers import ship_code
 
 # Most labelled rows that a model is fitted on.
 TRAIN_ROWS = 20_000
@@ -33,6 +32,7 @@ MOST_TERMS = 192
 SINGLE_VOTERS = 32
 PREFIXES = range(3, 8)  # lengths in characters
 LEAST_ODDS, LEAST_GAIN, LEAST_DOCS = 2.0, 25.0, 4
+SAME_FAMILY = 0.7
 
 #: Bytes of words: letters, and all bytes beyond ASCII.
 _IN_WORD = np.zeros(256, bool)
@@ -91,7 +91,6 @@ def _mined_terms(rows: DataFrame) -> list[str]:
             row, term = seen // len(fresh), seen % len(fresh)
             n1 = np.bincount(term[toxic[row]], minlength=len(fresh))
             n0 = np.bincount(term[~toxic[row]], minlength=len(fresh))
-            # What no toxic document of a block has can only lose: kept as counts too.
             columns = [pa.array(list(fresh)), pa.array(n1), pa.array(n0)]
             yield pa.RecordBatch.from_arrays(columns, ["term", "n1", "n0"])
 
@@ -108,9 +107,25 @@ def _mined_terms(rows: DataFrame) -> list[str]:
     best = (
         counted.filter((F.col("n1") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (gain >= LEAST_GAIN))
         .orderBy(gain.desc(), "term")
-        .limit(MOST_TERMS)
+        .limit(4 * MOST_TERMS)
     )
-    return [r.term for r in best.select("term").collect()]
+    found = {r.term: r.n1 for r in best.select("term", "n1").collect()}
+    return _without_shorter(found)[:MOST_TERMS]
+
+
+def _without_shorter(found: dict[str, int]) -> list[str]:
+    """Terms without beginnings that say little more than one longer term.
+
+    A beginning stands for a family of words. If most of its documents have it by the same
+    longer term, it would only add other words that happen to begin alike.
+    """
+    shorter = set()
+    for term, n in found.items():
+        for size in PREFIXES:
+            start = term.rstrip("$")[:size]
+            if start != term and start in found and n >= SAME_FAMILY * found[start]:
+                shorter.add(start)
+    return [t for t in found if t not in shorter]
 
 
 def _features(block: B.Block, terms: list[str]):
@@ -158,7 +173,7 @@ def fit_toxicity(
     train_rows: int = TRAIN_ROWS,
 ) -> SimpleNamespace | None:
     """A model from at most ``train_rows`` labelled documents; None without both labels."""
-    ship_code()
+    prepare(docs.sparkSession)
     sample = label_sample(labels, id_column, label, train_rows)
     rows = _labelled(docs, sample, id_column, text)
     terms = _mined_terms(rows)
@@ -198,7 +213,7 @@ def score_toxicity(
     Only the text is looked at. A null or empty text has no terms and gets the score of
     that; without a model all scores are 0. Columns with the new names are replaced.
     """
-    ship_code()
+    prepare(docs.sparkSession)
     plain, schema = added(docs, NEW)
     parts = (model.terms, model.weights) if model else None
     shared = docs.sparkSession.sparkContext.broadcast(parts)
