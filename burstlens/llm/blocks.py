@@ -65,6 +65,8 @@ def blocks(batches, column: str = "text", size: int = BLOCK_BYTES) -> Iterator[B
             lo, hi = first[row], first[stop]
             yield Block(batch.slice(row, stop - row), raw[lo:hi], first[row : stop + 1] - lo)
             row = stop
+    # A worker serves many tasks; what Arrow holds in reserve is memory of the executor.
+    pa.default_memory_pool().release_unused()
 
 
 def runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

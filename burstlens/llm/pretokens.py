@@ -24,7 +24,7 @@ from burstlens.llm import blocks as B
 
 # Words, and bytes of words, that a Python worker remembers. With more it starts
 # anew, so its memory stays bounded; results don't depend on it.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 CACHE_BYTES = 16 << 20
 
 #: Fixed value: how byte-level vocabularies of this kind split a text.
