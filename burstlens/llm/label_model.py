@@ -20,8 +20,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS)
 
     ``votes`` (rows x voters, 0/1) come from one of two hidden classes; ``start`` is a
     first guess of the chance of class 1. In turns, firing rates per class are estimated
-    from the posterior, then the correlations that voters keep within classes, and then
-    the posterior from the votes. A voter counts in inverse proportion to the sum of its
+    from the posterior, then the correlations that voters keep within the likelier class,
+    and then the posterior from the votes. A voter counts in inverse proportion to the sum of its
     correlations, so several voters that say the same weigh about as much as one.
     """
     votes = votes.astype(float)
@@ -31,7 +31,12 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS)
         w1, w0 = posterior.sum(), (1 - posterior).sum()
         fires1 = (posterior @ votes + 0.5) / (w1 + 1.0)
         fires0 = ((1 - posterior) @ votes + 0.5) / (w0 + 1.0)
-        rest = votes - np.outer(posterior, fires1) - np.outer(1 - posterior, fires0)
+        # Within the likelier class: an undecided posterior would leave the classes' own
+        # difference in the rest, make voters look correlated, and so undecide itself.
+        likely = (posterior > 0.5).astype(float)
+        mean1 = likely @ votes / max(likely.sum(), 1.0)
+        mean0 = (1 - likely) @ votes / max((1 - likely).sum(), 1.0)
+        rest = votes - np.outer(likely, mean1) - np.outer(1 - likely, mean0)
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         correlation = (rest.T @ rest) / len(votes) / np.outer(spread, spread)
         strength = np.abs(np.clip(correlation, -1, 1))
