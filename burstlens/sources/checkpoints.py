@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
 
@@ -36,6 +36,17 @@ def scratch_dir(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """The rows of ``df``, computed once, from a table in the shared space.
+
+    For small results that several parts of a plan read. It cuts their lineage as
+    well: a lost executor doesn't cause them to be computed again.
+    """
+    path = scratch_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete the folders named so far; results that still read them are then lost."""
     jvm = getattr(spark.sparkContext, "_jvm", None)

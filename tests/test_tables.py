@@ -25,6 +25,8 @@ from burstlens import (
     with_ordinal,
     write_report,
 )
+from burstlens.operators import bursts, chains
+from burstlens.sources.checkpoints import stored
 from burstlens.sources.tables import events_trace
 from tests.helpers import WRITE, burst, table
 
@@ -171,27 +173,31 @@ def _plan(df, final=False):
 SF = "/root/testdata/sf0.001"
 
 
-def test_one_scan_and_one_sort_of_all_rows(spark):
-    # Under adaptive execution, as on tables too large to broadcast.
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "true"}
-    before = {k: spark.conf.get(k) for k in settings}
+def test_one_scan_and_one_sort_of_all_rows(spark, monkeypatch):
+    # Without broadcasts, as on tables too large for them. Each stored table is one plan.
+    plans = []
+
+    def recorded(df, kind):
+        plans.append(_plan(df))
+        return stored(df, kind)
+
+    for module in (bursts, chains):
+        monkeypatch.setattr(module, "stored", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         found = detect(events_trace(spark, SF), "L1D", "BOTH", chunk=97)
-        plan = _plan(found, final=True).split("== Initial Plan ==")[0]
+        tags, qualifying, linked = plans + [_plan(found)]
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    assert plan.count("FileScan parquet") == 1
-    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in plan
-    # Only the rows that are left go behind the exchange that several readers share.
-    dense = re.findall(r"^.* Exchange hashpartitioning\(cell#\d+L.*REPARTITION_BY_COL.*$", plan, re.M)
-    assert sum("ReusedExchange" not in line for line in dense) == 1
-    assert "ReusedExchange" in plan
-    # The window with the widest lag is the one over all rows.
-    assert len(re.findall(r"Window \[lag\(rec_idx#\d+L, -4", plan)) == 1
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in tags
+    assert (tags.count("FileScan"), tags.count("Exchange"), tags.count("Sort [")) == (1, 1, 1)
+    assert tags.count("Window [") == 2
+    # From here on only what was left of the trace is read.
+    assert "event_id" not in qualifying + linked
+    assert qualifying.count("Window [") <= 4
+    assert "Window [" not in linked
+    assert all("Python" not in p for p in (tags, qualifying, linked))
 
 
 def test_bursts_are_aggregated_in_the_stage_of_the_shuffle(spark):
