@@ -202,6 +202,88 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op13_merkle(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.merkle import folded, leaf_digest, proof_digest, with_proofs
+    from burstlens.llm.places import written
+
+    docs = _documents(spark, d)
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = leaf_digest(fields | {"n_chars": F.col("n_chars") + 1})
+    # Texts are read once; what follows are digests.
+    leaves = written(
+        docs.select("doc_id", "lang", leaf_digest(fields).alias("leaf"), F.when(tampered, changed).alias("changed")),
+        "leaves",
+    )
+    found = with_proofs(leaves, "lang", ["doc_id"])
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_MERKLE_SQL = """
+WITH RECURSIVE parts AS (SELECT doc_id, lang, n_chars, crc32 % 7 = 0 AS tampered, {head} AS head, {tail} AS tail
+    FROM (SELECT *, {crc} AS crc32 FROM documents)),
+  leaves AS (SELECT doc_id, lang, sha256(head || {n_chars} || tail) AS leaf,
+      sha256(head || {n_plus} || tail) AS changed, tampered FROM parts),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+      count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g FROM leaves),
+  low AS (SELECT g, 0 AS level, pos, leaf AS h, n FROM ranked
+    UNION ALL
+    SELECT g, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+    FROM low WHERE n > 1 GROUP BY g, level, pos // 2, n),
+  tops AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+  high AS (SELECT 0 AS level, pos, h, n FROM tops
+    UNION ALL
+    SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+    FROM high WHERE n > 1 GROUP BY level, pos // 2, n),
+  -- Siblings of every node with more than one node on its level, and the depth of each tree.
+  low_step AS (SELECT a.g, a.level, a.pos, b.h AS s FROM low a
+    LEFT JOIN low b ON b.g = a.g AND b.level = a.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+  high_step AS (SELECT a.level, a.pos, b.h AS s FROM high a
+    LEFT JOIN high b ON b.level = a.level AND b.pos = xor(a.pos, 1) WHERE a.n > 1),
+  depth AS (SELECT g, max(level) AS d FROM low GROUP BY g),
+  steps AS (SELECT r.g, r.pos, l.level AS k, l.s, (r.pos >> l.level) % 2 AS slot
+    FROM ranked r JOIN low_step l ON l.g = r.g AND l.pos = r.pos >> l.level
+    UNION ALL
+    SELECT r.g, r.pos, d.d + h.level, h.s, (t.pos >> h.level) % 2
+    FROM ranked r JOIN depth d USING (g) JOIN tops t USING (g) JOIN high_step h ON h.pos = t.pos >> h.level),
+  proofs AS (SELECT g, pos, sha256(coalesce(string_agg(s, '' ORDER BY k), '')) AS proof_sha256, count(*) AS m
+    FROM steps GROUP BY g, pos),
+  fold AS (SELECT g, pos, 0 AS k, CASE WHEN tampered THEN changed ELSE leaf END AS h FROM ranked
+    UNION ALL
+    SELECT f.g, f.pos, f.k + 1, sha256(CASE WHEN s IS NULL THEN f.h WHEN slot = 1 THEN s || f.h ELSE f.h || s END)
+    FROM fold f JOIN steps s ON s.g = f.g AND s.pos = f.pos AND s.k = f.k),
+  ends AS (SELECT g, pos, arg_max(h, k) AS folded_root FROM fold GROUP BY g, pos)
+SELECT doc_id, leaf, t.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root,
+       coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM high WHERE n = 1) AS verified
+FROM ranked r JOIN tops t USING (g) JOIN ends e ON e.g = r.g AND e.pos = r.pos
+LEFT JOIN proofs p ON p.g = r.g AND p.pos = r.pos"""
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a short text of ASCII characters."""
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+        list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+        lambda c, b: xor(c >> 8, list_extract({_crc_steps()}, xor(c & 255, b) + 1))))"""
+
+
+def _merkle_sql() -> str:
+    return _MERKLE_SQL.format(
+        crc=_crc_sql("CAST(doc_id AS VARCHAR)"),
+        head=" || ".join(map(_field_sql, ("doc_id", "source", "lang"))),
+        tail=_field_sql("text"),
+        n_chars=_field_sql("n_chars"),
+        n_plus=_field_sql("(n_chars + 1)"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -214,6 +296,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_token_counts": op9_token_counts,
         "op10_toxicity": op10_toxicity,
+        "op13_merkle": op13_merkle,
     }
 
 
@@ -222,4 +305,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": _SHARDS_SQL,
         "op3_decontamination": _CONTAMINATION_SQL,
         "op4_warc": _WARC_SQL,
+        "op13_merkle": _merkle_sql(),
     }
