@@ -284,6 +284,98 @@ def _merkle_sql() -> str:
     )
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns after the damage that the contract names, by CRC-32 of ``conv_id:turn``."""
+    def filled(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    damage = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.regexp_replace(filled("text"), "[.!?]", ""))
+    copies = F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1)
+    return turns.select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(filled("role")).alias("role"),
+        text.otherwise(filled("text")).alias("text"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.conversations import repair_conversations, repaired_digests
+    from burstlens.llm.places import written
+
+    original = spark.read.parquet(f"{d}/conversations.parquet")
+    turns = _damaged(original)
+    report = written(repair_conversations(turns), "repair")
+    digests = repaired_digests(turns, report)
+    ids = original.select(F.col("conv_id").alias("id")).distinct()
+    found = ids.join(report, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    found = found.join(digests, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    longs = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in longs),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE ids AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+  raw AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS h
+    FROM conversations c JOIN ids ON ids.conv_id IS NOT DISTINCT FROM c.conv_id),
+  damaged AS (SELECT g, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+      CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM raw, (VALUES (1), (2)) AS copies(copy) WHERE copy <= CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i,
+      row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS seen,
+      CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial,
+      rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inner_text FROM damaged),
+  turns AS (SELECT *, CASE WHEN inner_text = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN right(inner_text, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      initial || lead(initial) OVER (PARTITION BY g ORDER BY i) AS pair FROM ranked),
+  -- Roles so far: 0 none, 1 system, 2 user, 3 assistant last. Inserts before a turn, then its edit.
+  inserts(state, letters, cost, after) AS (VALUES (0, '', 0, 0), (0, 'I', 5, 2), (0, 'II', 10, 3), (1, '', 0, 1),
+      (1, 'I', 5, 2), (1, 'II', 10, 3), (2, '', 0, 2), (2, 'I', 5, 3), (3, '', 0, 3), (3, 'I', 5, 2)),
+  edits(state, initial, letter, cost, after) AS (VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2),
+      (2, 'a', 'K', 0, 3), (3, 'u', 'K', 0, 2), (0, '', 'R', 1, 2), (1, '', 'R', 1, 2), (2, '', 'R', 1, 3),
+      (3, '', 'R', 1, 2), (0, '', 'D', 2, 0), (1, '', 'D', 2, 1), (2, '', 'D', 2, 2), (3, '', 'D', 2, 3)),
+  ways AS (SELECT g, 0 AS i, 0 AS state, repeat('0', 12) AS way FROM ids
+    UNION ALL
+    SELECT w.g, w.i + 1, e.after, min(lpad(CAST(CAST(way[:12] AS BIGINT) + n.cost + e.cost
+        + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END AS VARCHAR), 12, '0')
+        || way[13:] || n.letters || letter)
+    FROM ways w JOIN turns t ON t.g = w.g AND t.i = w.i JOIN inserts n ON n.state = w.state
+      JOIN edits e ON e.state = n.after AND (e.initial = '' OR e.initial = t.initial)
+        AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+    GROUP BY w.g, w.i, e.after),
+  stats AS (SELECT g, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+      count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+      count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY g),
+  best AS (SELECT w.g, min(lpad(CAST(CAST(way[:12] AS BIGINT) + n.cost AS VARCHAR), 12, '0') || way[13:] || n.letters)
+      AS way FROM ways w JOIN stats s ON s.g = w.g AND s.n = w.i JOIN inserts n ON n.state = w.state
+    WHERE n.after IN (0, 3) GROUP BY w.g),
+  letters AS (SELECT g, p, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY g ORDER BY p) - 1 AS i
+    FROM (SELECT g, unnest(string_split(way[13:], '')) AS letter, generate_subscripts(string_split(way[13:], ''), 1) AS p
+      FROM best WHERE length(way) > 12)),
+  kept AS (SELECT l.g, p, letter, t.role, CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text, t.initial,
+      row_number() OVER (PARTITION BY l.g ORDER BY p) - 1 AS o
+    FROM letters l LEFT JOIN turns t ON t.g = l.g AND t.i = l.i WHERE letter <> 'D'),
+  roles AS (SELECT *, max(CASE WHEN o = 0 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END)
+      OVER (PARTITION BY g) AS system FROM kept),
+  results AS (SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o + system) % 2 = 0 THEN 'user'
+      ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p) AS repaired FROM roles GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(way[:12] AS BIGINT), 0) AS cost, coalesce(way[13:], '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ids LEFT JOIN stats USING (g) LEFT JOIN best USING (g) LEFT JOIN results USING (g)"""
+
+
+def _repair_sql() -> str:
+    key = "coalesce(CAST(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    return _REPAIR_SQL.replace("{crc}", _crc_sql(key))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -296,6 +388,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_token_counts": op9_token_counts,
         "op10_toxicity": op10_toxicity,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_merkle": op13_merkle,
     }
 
@@ -305,5 +398,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": _SHARDS_SQL,
         "op3_decontamination": _CONTAMINATION_SQL,
         "op4_warc": _WARC_SQL,
+        "op12_conversation_repair": _repair_sql(),
         "op13_merkle": _merkle_sql(),
     }
