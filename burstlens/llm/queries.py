@@ -284,6 +284,45 @@ def _merkle_sql() -> str:
     )
 
 
+def op11_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    from burstlens.llm.licenses import license_digest, scan_licenses
+
+    found = license_digest(scan_licenses(_documents(spark, d).select("doc_id", "text")))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+def _licenses_sql() -> str:
+    """Every word of a notice against every word of a text, by relative position."""
+    from burstlens.llm.licenses import BASE, NOTICES
+
+    every = (*BASE, *NOTICES)
+    heads = ", ".join(
+        f"({n}, '{o.label}', {len(o.tokens)}, {o.needed}, {len(o.mandatory)}, {str(n < len(BASE)).lower()})"
+        for n, o in enumerate(every)
+    )
+    tokens = ", ".join(
+        f"({n}, {i}, '{w}', {int(i in o.mandatory)})" for n, o in enumerate(every) for i, w in enumerate(o.tokens)
+    )
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS_SQL} AS l FROM documents),
+  notices(n, label, size, needed, keys, is_base) AS (VALUES {heads}),
+  tokens(n, i, word, is_key) AS (VALUES {tokens}),
+  places AS (SELECT id, unnest(l) AS word, unnest(range(len(l))) AS p FROM w),
+  starts AS (SELECT id, n, p - i AS start, count(*) AS same, sum(is_key) AS keys_same
+    FROM places JOIN tokens USING (word) GROUP BY ALL),
+  found AS (SELECT id, label, start, same / CAST(size AS DOUBLE) AS share, is_base
+    FROM starts JOIN notices USING (n) WHERE same >= needed AND keys_same = keys),
+  sums AS (SELECT id, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word,
+      max(start) FILTER (is_base) AS last_word, max(share) AS score,
+      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY id)
+SELECT doc_id, len(l) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM w LEFT JOIN sums USING (id)"""
+
+
 def _damaged(turns: DataFrame) -> DataFrame:
     """Turns after the damage that the contract names, by CRC-32 of ``conv_id:turn``."""
     def filled(name):
@@ -388,6 +427,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_roundtrip": op8_bpe_roundtrip,
         "op9_token_counts": op9_token_counts,
         "op10_toxicity": op10_toxicity,
+        "op11_license_scan": op11_license_scan,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_merkle": op13_merkle,
     }
@@ -398,6 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_sharding": _SHARDS_SQL,
         "op3_decontamination": _CONTAMINATION_SQL,
         "op4_warc": _WARC_SQL,
+        "op11_license_scan": _licenses_sql(),
         "op12_conversation_repair": _repair_sql(),
         "op13_merkle": _merkle_sql(),
     }
