@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlens.llm import blocks as B
-from burstlens.llm.places import added, prepare
+from burstlens.llm.places import added, hash_share, prepare
 
 DIMENSIONS = 1 << 17
 SIZES = (1, 2, 3)
@@ -180,9 +180,9 @@ def fit_language(
     # Every language gets its part of the sample, in full if it is small.
     part = train_rows / len(names)
     share = F.create_map(
-        *(F.lit(v) for name in names for v in (name, int((1 << 20) * min(1.0, part / langs[name]))))
+        *(F.lit(v) for name in names for v in (name, min(1.0, part / langs[name])))
     )
-    sample = known.filter(F.pmod("_key", F.lit(1 << 20)) < share[F.col("lang")])
+    sample = known.filter(hash_share(F.col("_key"), share[F.col("lang")]))
     number = {name: i for i, name in enumerate(names)}
 
     def train(batches):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from burstlens.sources.checkpoints import scratch_dir
 from burstlens.workers import ship_code
@@ -34,12 +36,18 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
-def added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, str]:
+def added(docs: DataFrame, new: dict[str, str]) -> tuple[DataFrame, StructType]:
     """``docs`` without columns of the new names, and the schema with them at the end.
 
     Names are compared as Spark does, without regard to case.
     """
     names = {name.lower() for name in new}
     plain = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in names))
-    old = [f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema]
-    return plain, ", ".join([*old, *(f"{name} {kind}" for name, kind in new.items())])
+    more = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in new.items()))
+    return plain, StructType([*plain.schema.fields, *more.fields])
+
+
+def hash_share(key: Column, share: float | Column) -> Column:
+    """Whether a 64-bit hash is in the lowest ``share`` (0 to 1) of its range, which may be as small as 2^-53."""
+    share = F.lit(share) if isinstance(share, float) else share
+    return F.shiftrightunsigned(key, 11) < F.floor(share * F.lit(float(1 << 53)))

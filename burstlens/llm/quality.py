@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from burstlens.llm import blocks as B
 from burstlens.llm.boosted_trees import fit, score
 from burstlens.llm.doc_stats import COUNTS, FEATURES, document_stats
-from burstlens.llm.places import added, prepare
+from burstlens.llm.places import added, hash_share, prepare
 
 # Most labelled rows that a model is fitted on.
 TRAIN_ROWS = 20_000
@@ -31,8 +31,8 @@ def label_sample(labels: DataFrame, id_column: str, label: str, rows: int) -> Da
     known = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     known = known.select(F.col(id_column).alias("_id"), F.col(label).cast("double").alias("_label"))
     n = known.count()
-    share = F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 20))
-    return known.filter(share < F.lit(int(min(1.0, 0.97 * rows / max(n, 1)) * (1 << 20)))).limit(rows)
+    share = min(1.0, 0.97 * rows / max(n, 1))
+    return known.filter(hash_share(F.xxhash64(F.lit("sample"), "_id"), share)).limit(rows)
 
 
 def fit_quality(

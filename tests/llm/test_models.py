@@ -143,3 +143,26 @@ def test_language_of_documents(documents, odd, none):
         assert (0 < r.score <= 1) if lettered else r.score == 0
     assert identify_language(none, model).count() == 0
     assert {r.lang_pred for r in identify_language(odd, None).collect()} == {"und"}
+
+
+def test_hash_shares_of_any_size(spark):
+    from pyspark.sql import functions as F
+
+    from burstlens.llm.places import hash_share
+
+    keys = spark.range(100_000).select(F.xxhash64("id").alias("k")).cache()
+    for share in (0.0, 0.001, 0.25, 1.0):
+        n = keys.filter(hash_share(F.col("k"), share)).count()
+        assert abs(n - 100_000 * share) <= 5 * (100_000 * share * (1 - share)) ** 0.5
+    least = spark.createDataFrame([(0,), (1 << 30,), (-1,)], "k long")
+    assert least.filter(hash_share(F.col("k"), 1e-9)).count() == 2
+
+
+def test_extra_columns_of_odd_types(odd):
+    from burstlens.llm.places import added
+
+    more = odd.selectExpr("*", "named_struct('content-type', 1, 'b c', map('x', array(1))) as s")
+    plain, schema = added(more, {"n": "long", "SCORE": "array<int>"})
+    assert schema.names == ["doc_id", "text", "position", "s", "n", "SCORE"]
+    got = plain.mapInArrow(lambda batches: iter(()), schema)
+    assert got.schema["s"].dataType == more.schema["s"].dataType and got.count() == 0
