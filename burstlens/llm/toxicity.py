@@ -184,7 +184,7 @@ def fit_toxicity(
     def measure(batches):
         for block in B.blocks(batches):
             counts, n_words, upper, bangs = _features(block, terms)
-            packed = pa.array([c.tobytes() for c in counts.astype(np.uint16)], pa.binary())
+            packed = pa.array([c.tobytes() for c in counts.astype(np.uint32)], pa.binary())
             columns = [block.batch.column("_label"), packed, pa.array(n_words), pa.array(upper)]
             names = ["_label", "counts", "n_words", "upper", "bangs"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(bangs)], names)
@@ -195,7 +195,7 @@ def fit_toxicity(
     y = found["_label"].to_numpy() > 0
     if not 0 < y.sum() < len(y):
         return None
-    counts = np.frombuffer(b"".join(found["counts"]), np.uint16).reshape(-1, n_terms)
+    counts = np.frombuffer(b"".join(found["counts"]), np.uint32).reshape(-1, n_terms)
     counts = counts.astype(np.float32)
     n_words = found["n_words"].to_numpy()
     whole = np.array([t.endswith("$") for t in terms])
