@@ -158,5 +158,5 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     manifest = spark.read.parquet(f"{path}/manifest")
-    # A file is a task's work; without this all of the small manifest is one task's.
-    return manifest.repartition("name").mapInArrow(read, schema)
+    # A file is a task's work. Their number is given, or the small manifest would be one task's.
+    return manifest.repartitionByRange(max(1, manifest.count()), "name").mapInArrow(read, schema)

@@ -327,8 +327,8 @@ def read_warc(
                     yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
     listed = names if names is not None else spark.read.parquet(f"{path}/manifest")
-    # A file is a task's work; without this all of the small manifest is one task's.
-    return listed.select("name").repartition("name").mapInArrow(read, RECORD)
+    # A file is a task's work. Their number is given, or the small manifest would be one task's.
+    return listed.select("name").repartitionByRange(max(1, listed.count()), "name").mapInArrow(read, RECORD)
 
 
 def page_number(column):

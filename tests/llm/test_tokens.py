@@ -105,3 +105,20 @@ def test_encoding_and_decoding(odd, none):
         assert r.n_tokens == len(ids)
         assert (r.ids_sha256, r.decoded_sha256) == (sha(" ".join(map(str, ids))), sha(decoded))
     assert decode_ids(encode_texts(none, WORDS), WORDS).count() == 0
+
+
+def test_files_are_read_by_a_task_each(spark, tmp_path):
+    from burstlens.llm.queries import BYTE_BPE
+    from burstlens.llm.token_files import read_token_files, write_token_files
+
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat('some words ', 20) as text").repartition(6)
+    path = str(tmp_path / "tokens")
+    write_token_files(docs, path, BYTE_BPE, end_id=0)
+    files = spark.read.parquet(f"{path}/manifest").count()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        tasks = read_token_files(spark, path).selectExpr("spark_partition_id() as p").distinct().count()
+        assert files > 1 and tasks == files
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
