@@ -20,16 +20,24 @@ import burstlens as bl  # noqa: E402
 from burstlens.sources import tables  # noqa: E402
 from burstlens.sources.checkpoints import scratch_dir  # noqa: E402
 
+
+
+def _optional(absent: ImportError) -> bool:
+    """Whether an absent module belongs to the training-text part or to what only that needs."""
+    name = absent.name or ""
+    return name in ("corpus_pipeline", "public_tokenizers") or name.startswith("burstlens.llm")
+
+
 try:  # the operators for training text are an optional part
     from burstlens.llm import queries as training_text
 except ImportError as absent:
-    if not (absent.name or "").startswith("burstlens.llm"):
+    if not _optional(absent):
         raise
     training_text = None
 try:
     import corpus_pipeline
 except ImportError as absent:
-    if absent.name != "corpus_pipeline" and not (absent.name or "").startswith("burstlens.llm"):
+    if not _optional(absent):
         raise
     corpus_pipeline = None
 
